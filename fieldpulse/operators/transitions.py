@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, scaled, with_scalar
+from ..session import materialise
 from .emerging import work_authors
 
 # Score threshold, number of topics and signal weights.
@@ -23,13 +24,14 @@ PAIR = ["src_topic_id", "tgt_topic_id", "year"]
 
 def top_topics(tagged: DataFrame, n: int = TOP_TOPICS) -> DataFrame:
     """The ``n`` topics with most distinct works, ties by id; ``tagged`` is ``topic_works``."""
-    return tagged.groupBy("topic_id").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "topic_id").limit(n)
+    return tagged.groupBy("topic_id").agg(
+        F.count("*").alias("n"), F.max("topic_name").alias("topic_name"),
+    ).orderBy(F.desc("n"), "topic_id").limit(n)
 
 
-def in_top(tagged: DataFrame, n: int = TOP_TOPICS) -> DataFrame:
-    """Rows of the top topics; the id list has ``n`` rows and is broadcast."""
-    return tagged.join(F.broadcast(top_topics(tagged, n).select("topic_id")), "topic_id", "left_semi")
+def in_top(tagged: DataFrame, top: DataFrame) -> DataFrame:
+    """Rows of the top topics; ``top`` is the short list of ``top_topics`` and is broadcast."""
+    return tagged.join(F.broadcast(top.select("topic_id")), "topic_id", "left_semi")
 
 
 def work_topic_sets(chosen: DataFrame) -> DataFrame:
@@ -95,9 +97,9 @@ def shared_authors(author_sets: DataFrame, years: DataFrame) -> DataFrame:
 
 def topic_sizes(sets: DataFrame, author_sets: DataFrame, years: DataFrame) -> DataFrame:
     """Works and authors per topic and year, with the next observed year."""
-    works = sets.groupBy("year", F.explode("topics").alias("topic_id")).agg(
+    works = sets.select("year", F.explode("topics").alias("topic_id")).groupBy("year", "topic_id").agg(
         F.count("*").alias("works")).select("topic_id", "year", "works", F.lit(0).alias("authors"))
-    people = author_sets.groupBy("year", F.explode("topics").alias("topic_id")).agg(
+    people = author_sets.select("year", F.explode("topics").alias("topic_id")).groupBy("year", "topic_id").agg(
         F.count("*").alias("authors")).select("topic_id", "year", F.lit(0).alias("works"), "authors")
     sizes = works.unionByName(people).groupBy("topic_id", "year").agg(
         F.sum("works").alias("works"), F.sum("authors").alias("authors"))
@@ -209,15 +211,22 @@ def classify_transitions(kept: DataFrame) -> DataFrame:
 def topic_transitions(tagged: DataFrame, authorships: DataFrame, threshold: float = THRESHOLD,
                       top_n: int = TOP_TOPICS, weight: float = STRUCTURAL_WEIGHT,
                       keep_blank: bool = False) -> DataFrame:
-    """The transition table with its signals; ``tagged`` is ``topic_works``."""
-    chosen = in_top(tagged, top_n)
-    sets = work_topic_sets(chosen)
-    pairs, sizes = pair_signals(sets, author_topic_sets(sets, authorships, keep_blank))
+    """The transition table with its signals; ``tagged`` is ``topic_works``.
+
+    The topic sets of works and authors are each read several times and are
+    written once, as are the small pair and size tables made from them.
+    """
+    top = materialise(top_topics(tagged, top_n))
+    sets = materialise(work_topic_sets(in_top(tagged, top)))
+    author_sets = materialise(author_topic_sets(sets, authorships, keep_blank))
+    pairs, sizes = (materialise(t) for t in pair_signals(sets, author_sets))
     kept = classify_transitions(scored_pairs(pairs, sizes, threshold, weight))
-    names = F.broadcast(chosen.groupBy("topic_id").agg(F.max("topic_name").alias("name")))
-    src = names.select(F.col("topic_id").alias("src_topic_id"), F.col("name").alias("src_topic_name"))
-    tgt = names.select(F.col("topic_id").alias("tgt_topic_id"), F.col("name").alias("tgt_topic_name"))
-    return kept.join(src, "src_topic_id").join(tgt, "tgt_topic_id").select(
+
+    def names(side: str) -> DataFrame:
+        return F.broadcast(top.select(F.col("topic_id").alias(f"{side}_topic_id"),
+                                      F.col("topic_name").alias(f"{side}_topic_name")))
+
+    return kept.join(names("src"), "src_topic_id").join(names("tgt"), "tgt_topic_id").select(
         "src_topic_id", "tgt_topic_id", "src_topic_name", "tgt_topic_name", "year", "next_year",
         F.col("shared_authors").cast("int").alias("overlap_count"),
         F.col("combined_score").alias("overlap_ratio"), "transition_type",

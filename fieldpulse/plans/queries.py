@@ -277,17 +277,20 @@ def emerging_summary(spark, folder):
 
 @register
 def top_topics(spark, folder):
-    return transitions.top_topics(_tagged(spark, folder))
+    return transitions.top_topics(_tagged(spark, folder)).drop("topic_name")
 
 
 def _sets(spark, folder):
-    return transitions.work_topic_sets(transitions.in_top(_tagged(spark, folder)))
+    tagged = _tagged(spark, folder)
+    return materialise(transitions.work_topic_sets(
+        transitions.in_top(tagged, transitions.top_topics(tagged))))
 
 
 @register
 def dual_tag_overlap(spark, folder):
     sets = _sets(spark, folder)
-    sizes = sets.groupBy("year", F.explode("topics").alias("src_topic_id")).agg(F.count("*").alias("n"))
+    sizes = sets.select("year", F.explode("topics").alias("src_topic_id")).groupBy(
+        "year", "src_topic_id").agg(F.count("*").alias("n"))
     pairs = transitions.shared_works(sets).join(sizes, ["src_topic_id", "year"])
     return rounded(pairs.withColumn("overlap", ratio(F.col("shared_works"), F.col("n"))).drop("n"))
 
