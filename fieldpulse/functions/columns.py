@@ -35,15 +35,11 @@ def reconstruct_abstract(index) -> Column:
 
 def title_tokens(text) -> Column:
     """Distinct lower-case alphabetic words of more than three letters, stop list removed."""
-    strip = "[" + "".join("\\" + ch for ch in TITLE_PUNCTUATION) + "]+"
-    words = F.transform(
-        F.split(F.lower(F.coalesce(_col(text), F.lit(""))), r"(?U)\s+"),
-        lambda w: F.regexp_replace(w, f"^{strip}|{strip}$", ""),
-    )
-    stop = F.array(*[F.lit(w) for w in TITLE_STOP_WORDS])
+    raw = F.array_distinct(F.split(F.lower(F.coalesce(_col(text), F.lit(""))), r"(?U)\s+"))
+    words = F.transform(raw, lambda w: F.btrim(w, F.lit(TITLE_PUNCTUATION)))
     return F.array_distinct(F.filter(
         words,
-        lambda w: (F.length(w) > 3) & w.rlike(r"^\p{L}+$") & ~F.array_contains(stop, w),
+        lambda w: (F.length(w) > 3) & ~w.isin(*TITLE_STOP_WORDS) & w.rlike(r"^\p{L}+$"),
     ))
 
 

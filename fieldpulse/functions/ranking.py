@@ -32,5 +32,5 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     return (
         ranged.withColumn("_local", F.row_number().over(local))
         .join(offsets, [*keys, "_slice"])
-        .select(*cols, (F.col("_local") + F.col("_before")).cast("int").alias(name))
+        .select(*cols, (F.col("_local") + F.col("_before")).cast("long").alias(name))
     )

@@ -121,9 +121,9 @@ def signals_from_tables(works: DataFrame, work_topics: DataFrame, authorships: D
     """End to end: base tables to classified topic-years."""
     from .evolution import stats_from_counts, topic_year_counts
 
-    tagged = topic_works(works, work_topics)
+    tagged = materialise(topic_works(works, work_topics))
     return emerging_signals(stats_from_counts(topic_year_counts(tagged)),
-                            topic_author_year(tagged, authorships))
+                            materialise(topic_author_year(tagged, authorships)))
 
 
 def flag_emerging(stats: DataFrame, signals: DataFrame) -> DataFrame:

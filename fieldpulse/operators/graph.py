@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.skew import distinct_pairs
+from ..functions.skew import distinct_pairs, split_join
 from ..functions.stats import ratio
 from .emerging import work_authors
 
@@ -111,7 +111,7 @@ def label_communities(membership: DataFrame, authorships: DataFrame, work_topics
         "work_id", "community_id").agg(F.sum("n").alias("n_authors"))
     tags = work_topics.groupBy("work_id", "topic_name").agg(F.count("*").alias("n_tags"))
     best = (
-        per_work.join(tags, "work_id")
+        split_join(per_work, tags, "work_id", "community_id")
         .groupBy("community_id", "topic_name").agg(F.sum(F.col("n_authors") * F.col("n_tags")).alias("n"))
         .groupBy("community_id")
         .agg(F.min_by("topic_name", F.struct(-F.col("n"), "topic_name")).alias("label")))

@@ -63,12 +63,14 @@ def _stats(spark, folder) -> DataFrame:
 
 
 def _tay(spark, folder) -> DataFrame:
-    return emerging.topic_author_year(_tagged(spark, folder), commerce(spark, folder).authorships)
+    return materialise(emerging.topic_author_year(
+        _tagged(spark, folder), commerce(spark, folder).authorships))
 
 
 def _signals(spark, folder) -> DataFrame:
     """The signal table, written once: the queries that follow read it several times."""
-    return materialise(emerging.emerging_signals(_stats(spark, folder), _tay(spark, folder)))
+    c = commerce(spark, folder)
+    return materialise(emerging.signals_from_tables(c.works, c.work_topics, c.authorships))
 
 
 def _papers(spark, folder, signals) -> DataFrame:

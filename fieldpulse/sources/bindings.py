@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -61,13 +63,13 @@ def commerce(spark: SparkSession, folder: str, names: bool = False) -> Corpus:
 
 def texts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """``(works, work_topics)`` of the text binding; title and abstract are the whole text."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "source", "n_chars"), "doc_id")
     works = docs.select(
         prefixed("W", "doc_id").alias("work_id"),
         F.col("text").alias("title"), F.col("text").alias("abstract_text"),
         F.col("n_chars").cast("int").alias("cited_by_count"),
     )
-    work_topics = docs.select(
+    work_topics = table(spark, folder, "documents").select(
         prefixed("W", "doc_id").alias("work_id"),
         F.col("source").alias("topic_id"), F.col("source").alias("topic_name"),
     )
