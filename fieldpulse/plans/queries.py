@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import TITLE_STOP_WORDS, reconstruct_abstract
 from ..functions.stats import ratio
 from ..operators import (
-    cluster, communities, emerging, evaluate, evolution, graph, ingest, text, topics, transitions, views,
+    cluster, communities, emerging, evaluate, evolution, graph, ingest, neighbours, text, topics, transitions, views,
 )
 from ..session import materialise
 from ..sources import bindings
@@ -443,6 +443,11 @@ def kmeans_assign(spark, folder):
     return rounded(cluster.assign_clusters(vectors, cluster.centroids(vectors, "label"), "vec_id"))
 
 
+@register
+def knn_graph(spark, folder):
+    return rounded(neighbours.knn_graph(_vectors(spark, folder)))
+
+
 @register
 def kmeans(spark, folder):
     return cluster.kmeans(_vectors(spark, folder), k=10, restarts=3, key="vec_id")
