@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.skew import split_join
 from ..functions.stats import exact_percentiles, minmax, ratio, with_scalar
 from ..session import materialise
-from .evolution import topic_works
+from .evolution import stats_from_counts, topic_names, topic_works, topic_year_counts
 
 # Score weights and the number of papers linked per topic-year.
 WEIGHTS = (0.4, 0.3, 0.3)
@@ -119,10 +119,8 @@ def emerging_signals(stats: DataFrame, tay: DataFrame,
 
 def signals_from_tables(works: DataFrame, work_topics: DataFrame, authorships: DataFrame) -> DataFrame:
     """End to end: base tables to classified topic-years."""
-    from .evolution import stats_from_counts, topic_year_counts
-
     tagged = materialise(topic_works(works, work_topics))
-    return emerging_signals(stats_from_counts(topic_year_counts(tagged)),
+    return emerging_signals(stats_from_counts(topic_year_counts(tagged, topic_names(work_topics))),
                             materialise(topic_author_year(tagged, authorships)))
 
 
@@ -137,14 +135,15 @@ def representative_papers(signals: DataFrame, tagged: DataFrame, works: DataFram
                           k: int = TOP_PAPERS) -> DataFrame:
     """The ``k`` most cited works of every emerging topic-year, ties by work id.
 
-    Titles join only after the ranking has reduced the rows.
+    Every topic-year is ranked first, because the ranking keeps only ``k`` rows per
+    task and group before the shuffle; classes and titles join the few rows left.
     """
     chosen = signals.where(F.col("classification") == "emerging").select("topic_id", "year")
     order = Window.partitionBy("topic_id", "year").orderBy(F.desc("cited_by_count"), "work_id")
     best = (
-        tagged.join(chosen, ["topic_id", "year"])
-        .select("topic_id", "year", "work_id", "cited_by_count")
+        tagged.select("topic_id", "year", "work_id", "cited_by_count")
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    best = best.join(chosen, ["topic_id", "year"], "left_semi")
     return best.join(works.select("work_id", "title"), "work_id").select(
         "topic_id", "year", "work_id", "title", "cited_by_count", "rank")
 

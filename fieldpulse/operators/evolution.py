@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.stats import ratio
 
 
+def topic_names(work_topics: DataFrame) -> DataFrame:
+    """One name per topic: the largest spelling."""
+    return work_topics.select("topic_id", "topic_name").distinct().groupBy("topic_id").agg(
+        F.max("topic_name").alias("topic_name"))
+
+
 def topic_works(works: DataFrame, work_topics: DataFrame, years: tuple[int, int] | None = None,
                 subfield_id: str | None = None, keep_undated: bool = False) -> DataFrame:
     """One row per (work, topic): year, citations and the number of tag rows.
@@ -16,8 +22,7 @@ def topic_works(works: DataFrame, work_topics: DataFrame, years: tuple[int, int]
     tag rows collapse on the map side.  ``works`` holds one row per work.
     """
     tags = work_topics if subfield_id is None else work_topics.where(F.col("subfield_id") == subfield_id)
-    tags = tags.groupBy("work_id", "topic_id").agg(
-        F.max("topic_name").alias("topic_name"), F.count("*").alias("tag_rows"))
+    tags = tags.groupBy("work_id", "topic_id").agg(F.count("*").alias("tag_rows"))
     dated = works.select(
         "work_id", F.col("publication_year").alias("year"),
         F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"))
@@ -28,16 +33,15 @@ def topic_works(works: DataFrame, work_topics: DataFrame, years: tuple[int, int]
     return tags.join(dated, "work_id")
 
 
-def topic_year_counts(tagged: DataFrame) -> DataFrame:
-    """Distinct works and citation sum per topic and year, from ``topic_works``.
+def topic_year_counts(tagged: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct works and citation sum per topic and year, from ``topic_works`` and ``topic_names``.
 
     The count is over distinct works; the citation sum counts every tag row.
     """
     return tagged.groupBy("topic_id", "year").agg(
-        F.max("topic_name").alias("topic_name"),
         F.count("*").cast("int").alias("work_count"),
         F.sum(F.col("cited_by_count") * F.col("tag_rows")).alias("citation_sum"),
-    )
+    ).join(names, "topic_id")
 
 
 def merge_counts(seed: DataFrame, computed: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def momentum(growth: DataFrame, window: int = 3) -> DataFrame:
 def topic_year_stats(works: DataFrame, work_topics: DataFrame, seed: DataFrame | None = None,
                      years: tuple[int, int] | None = None, window: int = 3) -> DataFrame:
     """The topic-year table; ``seed`` supplies counts for topic-years without loaded works."""
-    counts = topic_year_counts(topic_works(works, work_topics, years))
+    counts = topic_year_counts(topic_works(works, work_topics, years), topic_names(work_topics))
     return stats_from_counts(counts if seed is None else merge_counts(seed, counts), window)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import top_rows
 from ..functions.skew import distinct_pairs, split_join
 from ..functions.stats import ratio
+from ..session import materialise
 from .emerging import work_authors
 
 # Graph and display limits.
@@ -19,13 +21,19 @@ PALETTE_SIZE = 15
 
 def author_nodes(authorships: DataFrame, min_papers: int = MIN_PAPERS,
                  cap: int | None = MAX_AUTHORS) -> DataFrame:
-    """Authors with enough distinct works, the most productive first; ``cap=None`` keeps all."""
-    named = authorships.where(F.col("author_id") != "").groupBy("work_id", "author_id").agg(
+    """Authors with enough distinct works, the most productive first; ``cap=None`` keeps all.
+
+    Names are looked up for the chosen authors only.
+    """
+    nodes = work_authors(authorships).groupBy("author_id").agg(
+        F.count("*").cast("int").alias("paper_count")).where(F.col("paper_count") >= min_papers)
+    if cap is not None:
+        nodes = top_rows(nodes, [F.desc("paper_count"), F.asc("author_id")], cap)
+    nodes = materialise(nodes)
+    names = authorships.join(nodes.select("author_id"), "author_id", "left_semi").select(
+        "author_id", "author_name").distinct().groupBy("author_id").agg(
         F.max("author_name").alias("author_name"))
-    nodes = named.groupBy("author_id").agg(
-        F.max("author_name").alias("author_name"), F.count("*").cast("int").alias("paper_count"),
-    ).where(F.col("paper_count") >= min_papers)
-    return nodes if cap is None else nodes.orderBy(F.desc("paper_count"), "author_id").limit(cap)
+    return nodes.join(names, "author_id").select("author_id", "author_name", "paper_count")
 
 
 def coauthor_edges(authorships: DataFrame, nodes: DataFrame) -> DataFrame:

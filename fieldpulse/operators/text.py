@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import unit, word_tokens
+from ..functions.ranking import top_rows
 from ..functions.stats import with_scalar
 
 # Paper cap, vocabulary limits and embedding batch.
@@ -21,10 +22,15 @@ BATCH = 64
 
 
 def papers_with_abstract(works: DataFrame, top: int | None = MAX_PAPERS) -> DataFrame:
-    """``(work_id, abstract_text)`` of works with text, the most cited first; ``None`` keeps all."""
+    """``(work_id, abstract_text)`` of works with text, the most cited first; ``None`` keeps all.
+
+    The ranking moves ids and citations only; texts are looked up for the chosen.
+    """
     papers = works.where(F.length(F.trim("abstract_text")) > 0)
     if top is not None:
-        papers = papers.orderBy(F.desc("cited_by_count"), "work_id").limit(top)
+        best = top_rows(papers.select("work_id", "cited_by_count"),
+                        [F.desc("cited_by_count"), F.asc("work_id")], top)
+        papers = papers.join(best.select("work_id"), "work_id", "left_semi")
     return papers.select("work_id", "abstract_text")
 
 
@@ -51,7 +57,8 @@ def vocabulary(papers: DataFrame, terms: DataFrame, max_df: float = MAX_DF, min_
     words = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     words = with_scalar(words, "_n", papers.agg(F.count("*").alias("n"))).where(
         (F.col("df") >= least) & (F.col("df") <= F.lit(max_df) * n)).drop("_n")
-    return words if max_features is None else words.orderBy(F.desc("total"), "term").limit(max_features)
+    return words if max_features is None else top_rows(
+        words, [F.desc("total"), F.asc("term")], max_features)
 
 
 def tfidf(papers: DataFrame, terms: DataFrame, vocab: DataFrame, bounded: bool = True) -> DataFrame:

@@ -24,9 +24,8 @@ PAIR = ["src_topic_id", "tgt_topic_id", "year"]
 
 def top_topics(tagged: DataFrame, n: int = TOP_TOPICS) -> DataFrame:
     """The ``n`` topics with most distinct works, ties by id; ``tagged`` is ``topic_works``."""
-    return tagged.groupBy("topic_id").agg(
-        F.count("*").alias("n"), F.max("topic_name").alias("topic_name"),
-    ).orderBy(F.desc("n"), "topic_id").limit(n)
+    return tagged.groupBy("topic_id").agg(F.count("*").alias("n")).orderBy(
+        F.desc("n"), "topic_id").limit(n)
 
 
 def in_top(tagged: DataFrame, top: DataFrame) -> DataFrame:
@@ -208,25 +207,25 @@ def classify_transitions(kept: DataFrame) -> DataFrame:
         fan_out > 1, "split").otherwise("transfer"))
 
 
-def topic_transitions(tagged: DataFrame, authorships: DataFrame, threshold: float = THRESHOLD,
+def topic_transitions(tagged: DataFrame, names: DataFrame, authorships: DataFrame, threshold: float = THRESHOLD,
                       top_n: int = TOP_TOPICS, weight: float = STRUCTURAL_WEIGHT,
                       keep_blank: bool = False) -> DataFrame:
-    """The transition table with its signals; ``tagged`` is ``topic_works``.
+    """The transition table with its signals, from ``topic_works`` and ``topic_names``.
 
     The topic sets of works and authors are each read several times and are
     written once, as are the small pair and size tables made from them.
     """
-    top = materialise(top_topics(tagged, top_n))
+    top = materialise(top_topics(tagged, top_n).join(names, "topic_id"))
     sets = materialise(work_topic_sets(in_top(tagged, top)))
     author_sets = materialise(author_topic_sets(sets, authorships, keep_blank))
     pairs, sizes = (materialise(t) for t in pair_signals(sets, author_sets))
     kept = classify_transitions(scored_pairs(pairs, sizes, threshold, weight))
 
-    def names(side: str) -> DataFrame:
+    def named(side: str) -> DataFrame:
         return F.broadcast(top.select(F.col("topic_id").alias(f"{side}_topic_id"),
                                       F.col("topic_name").alias(f"{side}_topic_name")))
 
-    return kept.join(names("src"), "src_topic_id").join(names("tgt"), "tgt_topic_id").select(
+    return kept.join(named("src"), "src_topic_id").join(named("tgt"), "tgt_topic_id").select(
         "src_topic_id", "tgt_topic_id", "src_topic_name", "tgt_topic_name", "year", "next_year",
         F.col("shared_authors").cast("int").alias("overlap_count"),
         F.col("combined_score").alias("overlap_ratio"), "transition_type",

@@ -54,8 +54,12 @@ def _tagged(spark, folder) -> DataFrame:
     return evolution.topic_works(c.works, c.work_topics)
 
 
+def _names(spark, folder) -> DataFrame:
+    return evolution.topic_names(commerce(spark, folder).work_topics)
+
+
 def _counts(spark, folder) -> DataFrame:
-    return evolution.topic_year_counts(_tagged(spark, folder))
+    return evolution.topic_year_counts(_tagged(spark, folder), _names(spark, folder))
 
 
 def _stats(spark, folder) -> DataFrame:
@@ -79,7 +83,7 @@ def _papers(spark, folder, signals) -> DataFrame:
 
 def _graph(spark, folder, names: bool = False) -> tuple[DataFrame, DataFrame]:
     people = commerce(spark, folder, names).authorships
-    nodes = materialise(graph.author_nodes(people))
+    nodes = graph.author_nodes(people)
     return nodes, graph.coauthor_edges(people, nodes)
 
 
@@ -279,7 +283,7 @@ def emerging_summary(spark, folder):
 
 @register
 def top_topics(spark, folder):
-    return transitions.top_topics(_tagged(spark, folder)).drop("topic_name")
+    return transitions.top_topics(_tagged(spark, folder))
 
 
 def _sets(spark, folder):
@@ -306,7 +310,7 @@ def author_migration(spark, folder):
 
 def _transitions(spark, folder, threshold: float = transitions.THRESHOLD) -> DataFrame:
     return transitions.topic_transitions(
-        _tagged(spark, folder), commerce(spark, folder).authorships, threshold)
+        _tagged(spark, folder), _names(spark, folder), commerce(spark, folder).authorships, threshold)
 
 
 @register

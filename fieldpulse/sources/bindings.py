@@ -124,9 +124,8 @@ def raw_works(spark: SparkSession, folder: str) -> DataFrame:
         F.create_map(F.col("c_mktsegment"), F.array(F.lit(0), F.lit(2)),
                      F.col("o_orderpriority"), F.array(F.lit(1))).alias("abstract_inverted_index"),
         F.array(F.concat(F.lit(base + "W"), F.col("o_custkey").cast("string"))).alias("referenced_works"),
-        F.col("o_orderstatus"),
+        F.explode(F.when(F.col("o_orderstatus") == "O", F.array(F.lit(0))).otherwise(
+            F.array(F.lit(0), F.lit(1)))).alias("ingest_seq"),
     )
-    first = records.withColumn("ingest_seq", F.lit(0))
-    again = records.where(F.col("o_orderstatus") != "O").withColumns(
-        {"ingest_seq": F.lit(1), "display_name": F.lit("repeated delivery")})
-    return first.unionByName(again).drop("o_orderstatus")
+    return records.withColumn("display_name", F.when(
+        F.col("ingest_seq") == 0, F.col("display_name")).otherwise("repeated delivery"))

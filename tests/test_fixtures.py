@@ -43,7 +43,8 @@ def test_acceleration_with_a_gap(gap_stats):
 
 def test_counts_are_distinct_and_citations_are_not(spark):
     works, tags, _ = corpus(spark, [("W1", 2020, 7, ["T1", "T1"], []), ("W2", None, 9, ["T1"], [])])
-    row = evolution.topic_year_counts(evolution.topic_works(works, tags)).collect()
+    row = evolution.topic_year_counts(
+        evolution.topic_works(works, tags), evolution.topic_names(tags)).collect()
     assert [(r.topic_id, r.year, r.work_count, r.citation_sum) for r in row] == [("T1", 2020, 1, 14)]
 
 
@@ -65,7 +66,8 @@ def test_author_signals(spark):
 
 def test_transitions(spark):
     works, tags, people = corpus(spark, SMALL)
-    got = transitions.topic_transitions(evolution.topic_works(works, tags), people).collect()
+    got = transitions.topic_transitions(
+        evolution.topic_works(works, tags), evolution.topic_names(tags), people).collect()
     assert [(r.src_topic_id, r.tgt_topic_id, r.year, r.next_year, r.overlap_count, r.overlap_ratio,
              r.transition_type, r.structural, r.behavioral) for r in got] == [
         ("T2", "T1", 2018, 2019, 1, 1.0, "transfer", 1.0, 1.0)]
@@ -74,7 +76,7 @@ def test_transitions(spark):
 def test_transitions_build_zero_pairs_only_for_a_threshold_that_keeps_them(spark):
     works, tags, people = corpus(spark, SMALL + [("W5", 2018, 1, ["T3"], ["z"])])
     tagged = evolution.topic_works(works, tags)
-    every = transitions.topic_transitions(tagged, people, threshold=0.0).collect()
+    every = transitions.topic_transitions(tagged, evolution.topic_names(tags), people, threshold=0.0).collect()
     # sources T1, T2, T3 in 2018 and targets T1, T2 in 2019 give 3 * 2 - 2 pairs
     assert len(every) == 4
     assert {(r.src_topic_id, r.tgt_topic_id): r.overlap_ratio for r in every}[("T3", "T1")] == 0
@@ -182,7 +184,7 @@ def test_empty_inputs_keep_their_schema(spark):
     stats = evolution.topic_year_stats(works, tags)
     signals = emerging.signals_from_tables(works, tags, people)
     frames = [stats, signals, emerging.representative_papers(signals, tagged, works),
-              transitions.topic_transitions(tagged, people), graph.author_nodes(people),
+              transitions.topic_transitions(tagged, evolution.topic_names(tags), people), graph.author_nodes(people),
               graph.coauthor_edges(people, graph.author_nodes(people)),
               evaluate.topic_coherence(tags, works), evaluate.trend_correlation(stats),
               evaluate.emerging_backtest(signals, stats), evaluate.signal_importance(signals, stats),

@@ -7,7 +7,7 @@ import pytest
 from helpers import table
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.ranking import numbered
+from fieldpulse.functions.ranking import numbered, top_rows
 from fieldpulse.functions.skew import distinct_pairs, hot_keys, split_join
 from fieldpulse.operators import communities, emerging, evolution, graph
 from fieldpulse.schemas import TABLES
@@ -123,6 +123,13 @@ def test_numbered_equals_row_number_for_one_large_group(spark):
         assert [r["rank"] for r in ordered] == list(range(1, len(members) + 1))
 
 
+def test_long_top_list_equals_a_plain_limit(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 3).alias("v"))
+    order = [F.desc("v"), F.asc("id")]
+    got = sorted(r.id for r in top_rows(df, order, 2500).collect())
+    assert got == sorted(r.id for r in df.orderBy(*order).limit(2500).collect())
+
+
 def test_a_third_of_the_rows_on_one_work_author_and_topic(spark):
     """Every operator result equals plain sets when single keys hold a large share."""
     tags = [("hot", f"t{i % 40}") for i in range(300)] + [(f"w{i}", "t0") for i in range(300)] + [
@@ -135,7 +142,7 @@ def test_a_third_of_the_rows_on_one_work_author_and_topic(spark):
     au = table(spark, "authorships", [dict(work_id=w, author_id=a, author_name=a) for w, a in people])
     tagged = evolution.topic_works(works, wt)
     counts = {(r.topic_id, r.year): (r.work_count, r.citation_sum)
-              for r in evolution.topic_year_counts(tagged).collect()}
+              for r in evolution.topic_year_counts(tagged, evolution.topic_names(wt)).collect()}
     for key in counts:
         hits = [w for w, t in tags if (t, years[w]) == key]
         assert counts[key] == (len(set(hits)), len(hits))
