@@ -60,12 +60,11 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> Da
     arcs = both_directions(edges)
     labels = nodes.select("author_id", F.col("author_id").alias("label"))
     for _ in range(rounds):
-        votes = (
-            arcs.join(labels.select(F.col("author_id").alias("dst"), "label"), "dst")
-            .groupBy("src", "label").agg(F.sum("weight").alias("w"))
-            .groupBy(F.col("src").alias("author_id"))
-            .agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("best")))
-        labels = labels.join(votes, "author_id", "left").select(
+        votes = arcs.join(labels.select(F.col("author_id").alias("dst"), "label"), "dst").groupBy(
+            F.col("src").alias("author_id"), "label").agg(F.sum("weight").alias("w"))
+        most = votes.groupBy("author_id").agg(F.max("w").alias("w"))
+        best = votes.join(most, ["author_id", "w"]).groupBy("author_id").agg(F.min("label").alias("best"))
+        labels = labels.join(best, "author_id", "left").select(
             "author_id", F.coalesce("best", "label").alias("label"))
     return labels
 

@@ -6,6 +6,7 @@ of doubles depend on their order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,11 @@ from ..functions.stats import ratio
 from ..operators import (
     cluster, communities, emerging, evaluate, evolution, graph, ingest, neighbours, text, topics, transitions, views,
 )
-from ..session import materialise
+from ..session import materialise, shared_folder
 from ..sources import bindings
 from ..sources.bindings import commerce, raw_works, texts
 from ..sources.works import limit_works, project_fields, select_works
+from ..streaming.ingest import ingest_incremental, read_ingested
 from ..streaming.live import live_topic_counts, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,6 +404,11 @@ def detected_communities(spark, folder):
     return communities.detect_communities(nodes, edges)
 
 
+@register
+def threshold_sizes(spark, folder):
+    return communities.threshold_sizes(*_graph(spark, folder))
+
+
 @register
 def graph_robustness(spark, folder):
     nodes, edges = _graph(spark, folder)
@@ -472,6 +479,16 @@ def paper_projections(spark, folder):
     return rounded(cluster.paper_projections(texts(spark, folder)[0], k=10, restarts=2))
 
 
+@register
+def cluster_summary(spark, folder):
+    return cluster.cluster_summary(cluster.paper_projections(texts(spark, folder)[0], k=10, restarts=1))
+
+
+@register
+def lda_perplexity(spark, folder):
+    return rounded(topics.lda_perplexity(topics.fit_lda(texts(spark, folder)[0])))
+
+
 @register
 def lda_topics(spark, folder):
     return topics.topic_words(topics.fit_lda(texts(spark, folder)[0]))
@@ -618,6 +635,17 @@ def topic_label(spark, folder):
 
 # -- streaming -------------------------------------------------------------------------------------
 
+@register
+def incremental_ingest(spark, folder):
+    """Records arrive as JSON files, then the repeated deliveries; each run takes the new files."""
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    for delivery in (0, 1):
+        raw_works(spark, folder).where(F.col("ingest_seq") == delivery).drop("ingest_seq").write.mode(
+            "append").json(f"{base}/in")
+        ingest_incremental(spark, f"{base}/in", f"{base}/state", f"{base}/out").awaitTermination()
+    return read_ingested(spark, f"{base}/out", "works")
+
+
 @register
 def live_counts(spark, folder):
     schema = spark.read.parquet(f"{folder}/events.parquet").schema

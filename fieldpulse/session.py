@@ -28,16 +28,22 @@ def build_session(app: str = "fieldpulse", master: str | None = None,
     return builder.getOrCreate()
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: the cluster's, or a fresh one in local mode."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="fieldpulse-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    """This application's folder for written intermediate tables.
+
+    It lies in the folder the cluster names; only a local session without that
+    setting gets a folder of its own.
+    """
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or _local_folders.get(app)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+        folder = _local_folders[app] = tempfile.mkdtemp(prefix="fieldpulse-")
+    return f"{folder.rstrip('/')}/fieldpulse/{app}"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -57,6 +63,6 @@ def materialise(df: DataFrame) -> DataFrame:
     joins choose broadcast only when the table is small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/fieldpulse/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

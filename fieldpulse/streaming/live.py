@@ -30,7 +30,7 @@ def run_available(counts: DataFrame, spark: SparkSession) -> DataFrame:
 
     Each batch replaces the result with the complete counts.
     """
-    base = f"{shared_folder(spark).rstrip('/')}/fieldpulse/live-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
 
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
