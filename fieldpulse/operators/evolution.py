@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from ..session import materialise
 
 
 def topic_names(work_topics: DataFrame) -> DataFrame:
@@ -89,8 +90,12 @@ def topic_year_stats(works: DataFrame, work_topics: DataFrame, seed: DataFrame |
 
 
 def stats_from_counts(counts: DataFrame, window: int = 3) -> DataFrame:
-    """Share, growth and momentum on top of topic-year counts."""
-    full = momentum(growth_rate(relative_share(counts)), window)
+    """Share, growth and momentum on top of topic-year counts.
+
+    The counts are read twice, for the rows and for the yearly totals.  They are a
+    small table at the end of the heaviest join, so they are written once.
+    """
+    full = momentum(growth_rate(relative_share(materialise(counts))), window)
     return full.select(
         "topic_id", "topic_name", "year", "work_count", "citation_sum", "growth_rate",
         "relative_share", "momentum", F.lit(False).alias("is_emerging"))

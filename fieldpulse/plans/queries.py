@@ -118,7 +118,7 @@ def topic_citation_sum(spark, folder):
 
 @register
 def topic_relative_share(spark, folder):
-    return rounded(evolution.relative_share(_counts(spark, folder)).select("topic_id", "year", "relative_share"))
+    return rounded(evolution.relative_share(materialise(_counts(spark, folder))).select("topic_id", "year", "relative_share"))
 
 
 @register
@@ -289,7 +289,7 @@ def top_topics(spark, folder):
 
 
 def _sets(spark, folder):
-    tagged = _tagged(spark, folder)
+    tagged = materialise(_tagged(spark, folder))
     return materialise(transitions.work_topic_sets(
         transitions.in_top(tagged, transitions.top_topics(tagged))))
 
@@ -312,7 +312,8 @@ def author_migration(spark, folder):
 
 def _transitions(spark, folder, threshold: float = transitions.THRESHOLD) -> DataFrame:
     return transitions.topic_transitions(
-        _tagged(spark, folder), _names(spark, folder), commerce(spark, folder).authorships, threshold)
+        materialise(_tagged(spark, folder)), _names(spark, folder),
+        commerce(spark, folder).authorships, threshold)
 
 
 @register
@@ -543,7 +544,8 @@ def trend_correlation(spark, folder):
 
 @register
 def top_correlated(spark, folder):
-    return rounded(evaluate.top_correlated(evaluate.trend_correlation(_counts(spark, folder))))
+    pairs = materialise(evaluate.trend_correlation(_counts(spark, folder)))
+    return rounded(evaluate.top_correlated(pairs))
 
 
 @register
