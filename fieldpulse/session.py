@@ -22,7 +22,7 @@ def build_session(app: str = "fieldpulse", master: str | None = None,
         .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
-        builder = builder.master(master).config("spark.driver.memory", "12g")
+        builder = builder.master(master).config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
