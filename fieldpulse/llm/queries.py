@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, simhash, substrings, url_filter
+from . import decontaminate, imatch, pii, simhash, substrings, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +88,22 @@ def op5_substring(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without passages of 13 words that an earlier one has."""
     left = substrings.remove_repeats(table(spark, folder, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# -- 3 benchmark decontamination -------------------------------------------------------------------
+
+@register
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a passage of ten words of a benchmark item."""
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+# -- 6 I-Match fingerprints ------------------------------------------------------------------------
+
+@register
+def op6_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document, its edited text, and how like they and the next document are."""
+    return imatch.compare_edits(table(spark, folder, "documents"))

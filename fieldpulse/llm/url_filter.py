@@ -71,9 +71,12 @@ def _passes(key: Column, level: Column) -> Column:
 
 def is_listed(key: Column, levels: Column) -> Column:
     """Membership of ``key`` by the cascade of its slice; ``levels`` null or empty: not listed."""
-    failed = F.filter(levels, lambda level: ~_passes(key, level))
-    first = F.array_min(F.transform(failed, lambda level: level["level"]))
-    return F.coalesce(F.pmod(F.coalesce(first, F.size(levels)), F.lit(2)) == 1, F.lit(False))
+    def ask(levels: Column) -> Column:
+        failed = F.filter(levels, lambda level: ~_passes(key, level))
+        first = F.array_min(F.transform(failed, lambda level: level["level"]))
+        return F.pmod(F.coalesce(first, F.size(levels)), F.lit(2)) == 1
+    # the levels are named once, so that no row carries a copy of them
+    return F.coalesce(F.get(F.transform(F.array(levels), ask), F.lit(0)), F.lit(False))
 
 
 def _level(keys: DataFrame, number: int, hashes: Column, bits: Column) -> DataFrame:
