@@ -213,3 +213,12 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return joined(joined(counted, hit), named).select(
         key, "copy", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+               item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item."""
+    _, spans, _ = benchmark_hits(docs, items, key, text, item, item_text)
+    dirty = spans.select(F.col(key).alias("_key"), F.col("copy").alias("_copy")).distinct()
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_copy"))
+    return docs.join(dirty, same, "left_anti")

@@ -6,8 +6,8 @@ A signature takes the distinct lexicon terms of a text that fall in one random s
 in sorted order, and hashes them; an edit that touches no term of the subset leaves it as it is.
 
 Subsets come in scales: at scale ``k`` each of ``SUBSETS`` subsets holds a share of ``2**-k`` of the lexicon, chosen by a
-seeded hash.  A text with about ``2**k`` lexicon terms uses the scales ``k`` and ``k + 1``, so that a
-subset holds about one of its terms; texts whose numbers of terms differ by less than a factor of two
+seeded hash.  A text with about ``2**k`` lexicon terms uses the scales ``k - 1`` to ``k + 1``, so that a
+subset holds about one of its terms; texts whose numbers of terms differ by less than a factor of four
 share a scale.  Likeness compares the signatures at the finest shared scale: the share of
 equal ones among subsets that are not empty on both sides, turned into an estimate of the shared terms.
 
@@ -23,6 +23,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +105,7 @@ class Lexicon:
         self.inside = (share >= band[0]) & (share <= band[1])
 
     def fingerprints(self, texts: pa.Array) -> list[str]:
-        """One fingerprint per text: ``scale:signatures.signatures`` in hexadecimal."""
+        """One fingerprint per text: ``scale:signatures.signatures.signatures`` in hexadecimal."""
         out: list[str] = []
         for lo, hi in scan.pieces(texts):
             part = texts.slice(lo, hi - lo)
@@ -120,12 +121,16 @@ class Lexicon:
         return out
 
 
+def _scales(scale: int) -> range:
+    return range(max(0, scale - 1), scale + 2)
+
+
 def signatures(terms: np.ndarray) -> str:
     """The fingerprint of sorted distinct term hashes."""
     scale = min(MAX_SCALE, int(len(terms)).bit_length() - 1)
     draws = scan.mix(terms[:, None] ^ _SEEDS[None, :])  # each subset orders the lexicon in its own way
     sets = []
-    for k in (scale, scale + 1):
+    for k in _scales(scale):
         inside = draws < np.uint64(min((1 << 64) - 1, 1 << (64 - k)))
         # the terms are distinct and sorted, so a sum of their mixed hashes stands for the sequence
         total = np.where(inside, scan.mix(draws ^ np.uint64(0x5851F42D4C957F2D)), np.uint64(0)).sum(axis=0, dtype=np.uint64)
@@ -140,9 +145,9 @@ def likeness(a: str, b: str) -> float:
         return 1.0
     (ka, sa), (kb, sb) = ((int(x[:2], 16), x[3:].split(".")) for x in (a, b))
     k = min(ka, kb) + 1  # the finest scale both have, if any
-    if k < max(ka, kb):
+    if k not in _scales(max(ka, kb)):
         return 0.0
-    x, y = (np.frombuffer(bytes.fromhex(s[k - own]), np.uint8) for s, own in ((sa, ka), (sb, kb)))
+    x, y = (np.frombuffer(bytes.fromhex(s[_scales(own).index(k)]), np.uint8) for s, own in ((sa, ka), (sb, kb)))
     some = (x > 0) | (y > 0)
     if not some.any():
         return 0.0
@@ -206,13 +211,12 @@ def _in_order(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
                   band: tuple[float, float] = BAND) -> DataFrame:
-    """``(key, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next)``.
+    """``(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
 
     The edited text has its last quarter of code points replaced by as many (or all) first ones of the
-    next document, ascending key; after the last comes the first.
+    next document, ascending key; after the last comes the first.  Rows stream through a task in order, a
+    bounded number of characters at a time.
     """
-    import hashlib
-
     lexicon = Lexicon(*document_frequencies(docs, text), band)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon.inside))
     rows, slices = _in_order(docs, key, text)
@@ -220,37 +224,41 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = restored(shared.value)
-        last = None  # the row whose successor has not come yet
 
-        def finish(group: list[tuple]) -> pa.RecordBatch:
-            texts = pa.array([t for _, t, _ in group], pa.string())
-            edited = pa.array([e for *_, e in group], pa.string())
+        def compared(held: list[tuple], first: list[str]) -> tuple[pa.RecordBatch, list[str]]:
+            """All rows but the last with their successors; and the fingerprint of the last."""
+            prints = first + own.fingerprints(pa.array([t for _, t, _ in held[len(first):]], pa.string()))
+            kept, edited = [], []
+            for k, (now, after) in enumerate(zip(held, held[1:])):
+                if now[2] == after[2]:
+                    cut = len(now[1]) // 4
+                    kept.append(k)
+                    edited.append(now[1][: len(now[1]) - cut] + after[1][:cut])
+            changed = own.fingerprints(pa.array(edited, pa.string()))
             return pa.RecordBatch.from_arrays([
-                pa.array([i for i, *_ in group], pa.int64()),
-                pa.array([len(t) for _, t, _ in group], pa.int64()),
-                pa.array([hashlib.sha256(e.encode()).hexdigest() for *_, e in group], pa.string()),
-                pa.array(own.fingerprints(texts), pa.string()), pa.array(own.fingerprints(edited), pa.string()),
-            ], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"])
-
-        def pairs() -> Iterator[tuple[int | None, str, str]]:
-            nonlocal last
-            for batch in batches:
-                for i, t, s in zip(batch.column("id"), batch.column("text"), batch.column("slice")):
-                    now = (i.as_py(), t.as_py() or "", s.as_py())
-                    if last is not None and last[2] == now[2]:
-                        cut = len(last[1]) // 4
-                        yield last[0], last[1], last[1][: len(last[1]) - cut] + now[1][:cut]
-                    last = now
-
-        group, size = [], 0
-        for row in pairs():
-            group.append(row)
-            size += len(row[1]) + len(row[2])
-            if size > scan.PIECE_BYTES:
-                yield finish(group)
-                group, size = [], 0
-        if group:
-            yield finish(group)
-
-    schema = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string"
-    return ordered.mapInArrow(run, schema).withColumnRenamed("id", key)
+                pa.array([held[k][0] for k in kept], pa.int64()),
+                pa.array([len(held[k][1]) for k in kept], pa.int64()),
+                pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+                pa.array([prints[k] for k in kept], pa.string()), pa.array(changed, pa.string()),
+                pa.array([likeness(prints[k], c) for k, c in zip(kept, changed)], pa.float64()),
+                pa.array([likeness(prints[k], prints[k + 1]) for k in kept], pa.float64()),
+            ], _COMPARED_NAMES), prints[-1:]
+
+        held, first, size = [], [], 0
+        for batch in batches:
+            for i, t, s in zip(batch.column("id"), batch.column("text"), batch.column("slice")):
+                held.append((i.as_py(), t.as_py() or "", s.as_py()))
+                size += len(held[-1][1])
+                if size > scan.PIECE_BYTES and len(held) > 1:
+                    out, first = compared(held, first)
+                    held, size = held[-1:], 0
+                    yield out
+        if held:
+            yield compared(held, first)[0]
+
+    return ordered.mapInArrow(run, _COMPARED).withColumnRenamed("id", key)
+
+
+_COMPARED = ("id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+             "near_edited double, near_next double")
+_COMPARED_NAMES = [c.split()[0] for c in _COMPARED.split(", ")]

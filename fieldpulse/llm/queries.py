@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, pii, simhash, substrings, url_filter
+from . import decontaminate, hilbert, imatch, langid, pii, raking, simhash, substrings, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,124 @@ def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op6_imatch(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document, its edited text, and how like they and the next document are."""
     return imatch.compare_edits(table(spark, folder, "documents"))
+
+
+# -- 7 toxicity ------------------------------------------------------------------------------------
+
+@register
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document; a third of the ids is held out from training."""
+    docs = table(spark, folder, "documents")
+    fold = F.coalesce(toxicity.crc(F.col("doc_id")) % 3 == 1, F.lit(False))
+    model = toxicity.train(docs, table(spark, folder, "labels"), use=~fold)
+    return toxicity.score(docs, model).select(
+        "doc_id", fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+# -- 10 language -----------------------------------------------------------------------------------
+
+@register
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; a fifth of the ids is held out from training."""
+    docs = table(spark, folder, "documents")
+    fold = F.coalesce(toxicity.crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    model = langid.train(docs, use=~fold)
+    return langid.predict(docs, model).select("doc_id", fold.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+# -- 8 sharding ------------------------------------------------------------------------------------
+
+@register
+def op8_hilbert(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return hilbert.assign_shards(table(spark, folder, "documents"))
+
+
+def _hilbert_sql() -> str:
+    digit, after = hilbert.curve_table()
+    side, last = 1 << hilbert.DIMS, hilbert.BITS - 1
+    place = lambda c: f"('0x' || substr(md5(coalesce({c}, '')), 1, 4))::INT % {1 << hilbert.BITS}"
+    steps, before = [], "points"
+    for level in reversed(range(hilbert.BITS)):
+        corner = " + ".join(f"((p{j} >> {level}) & 1) * {1 << j}" for j in range(hilbert.DIMS))
+        h, s = ("0", "0") if level == last else ("h", "s")
+        steps.append(f"c{level} AS (SELECT * EXCLUDE ({'h, s, ' if level != last else ''}p_last), {h}::BIGINT AS h0, "
+                     f"{s}::INT * {side} + {corner} AS cell FROM (SELECT *, 0 AS p_last FROM {before})), "
+                     f"l{level} AS (SELECT * EXCLUDE (h0, cell), h0 * {side} + ({digit})[cell + 1] AS h, "
+                     f"({after})[cell + 1] AS s FROM c{level})")
+        before = f"l{level}"
+    crc = [0] * 256
+    for i in range(256):
+        for _ in range(8):
+            i_ = crc[i] if _ else i
+            crc[i] = i_ >> 1 ^ (0xEDB88320 if i_ & 1 else 0)
+    return f"""
+WITH points AS (
+  SELECT doc_id, text, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         {place('lang')} AS p0, {place('source')} AS p1,
+         least(length(bin((octet_length(encode(coalesce(text, ''))) + 1)::BIGINT)) - 1, 31) AS p2
+  FROM documents),
+{', '.join(steps)},
+sums AS (
+  SELECT doc_id, size::BIGINT AS size, h::BIGINT AS curve, hex(encode(coalesce(text, ''))) AS x FROM {before}),
+checked AS (
+  SELECT doc_id, size, curve, (xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT,
+             [('0x' || substr(x, 2 * i + 1, 2))::BIGINT FOR i IN range(length(x) // 2)]),
+           lambda c, b: xor(c >> 8, ({crc}::BIGINT[])[(xor(c, b) & 255) + 1]))))::BIGINT AS text_crc32
+  FROM sums),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY curve, doc_id, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM checked)
+SELECT doc_id, size, text_crc32, curve, 'rows' AS law, (r * 16 // n)::INT AS shard,
+       (r - ((r * 16 // n) * n + 15) // 16)::INT AS slot, NULL::INT AS grown_shard
+FROM ranked"""
+
+
+ORACLE["op8_hilbert"] = _hilbert_sql()
+
+
+# -- 9 mixing --------------------------------------------------------------------------------------
+
+def _tidy(df: DataFrame) -> DataFrame:
+    """Doubles to nine digits: sums depend on their order."""
+    return df.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@register
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, probability and draw of every document, towards tempered source, language and topic shares."""
+    docs = table(spark, folder, "documents")
+    drawn = raking.mix(docs).withColumn("tokens", raking.tokens_of(F.col("text")))
+    return _tidy(drawn.select("doc_id", "source", "lang", "topic", "tokens", "weight", "probability", "sampled"))
+
+
+def _raking_sql() -> str:
+    form = " ".join(f"WHEN contains(text, '{mark}') THEN '{name}'" for name, mark in raking.FORMS)
+    parts = [rf"""docs AS (SELECT doc_id, source, lang, CASE {form} ELSE 'prose' END AS topic,
+  len(regexp_extract_all(coalesce(text, ''), '{raking.TOKEN}'))::BIGINT AS tokens FROM documents)""",
+             """cells AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, topic, sum(tokens)::DOUBLE AS t
+  FROM docs GROUP BY ALL)"""]
+    for d in raking.DIMENSIONS:
+        parts.append(f"raw_{d} AS (SELECT {d}, pow(sum(t), {raking.TEMPER[d]}) AS s FROM cells GROUP BY {d} HAVING sum(t) > 0)")
+        parts.append(f"goal_{d} AS (SELECT {d}, s / (SELECT sum(s) FROM raw_{d}) AS share FROM raw_{d})")
+        parts.append(f"{d}_0 AS (SELECT {d}, 1.0::DOUBLE AS f_{d} FROM raw_{d})")
+    now = {d: 0 for d in raking.DIMENSIONS}
+    for r in range(1, raking.ROUNDS + 1):
+        for d in raking.DIMENSIONS:
+            others = [x for x in raking.DIMENSIONS if x != d]
+            joins = " ".join(f"JOIN {x}_{now[x]} USING ({x})" for x in others)
+            parts.append(f"{d}_{r} AS MATERIALIZED (SELECT {d}, any_value(share) / sum(t * {' * '.join('f_' + x for x in others)}) "
+                         f"AS f_{d} FROM cells {joins} JOIN goal_{d} USING ({d}) GROUP BY {d})")
+            now[d] = r
+    joins = " ".join(f"JOIN {d}_{raking.ROUNDS} USING ({d})" for d in raking.DIMENSIONS)
+    parts.append(f"found AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN t > 0 THEN "
+                 f"f_source * f_lang * f_topic ELSE 0.0 END AS weight FROM cells {joins})")
+    return f"""WITH {', '.join(parts)}
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(coalesce(weight, 0.0), 9) AS weight,
+       round(coalesce(weight, 0.0) / (SELECT max(weight) FROM found), 9) AS probability,
+       ('0x' || substr(md5(doc_id::VARCHAR), 1, {raking.DRAW_DIGITS}))::BIGINT / pow(16.0, {raking.DRAW_DIGITS})
+         < coalesce(weight, 0.0) / (SELECT max(weight) FROM found) AS sampled
+FROM docs d LEFT JOIN found f ON f.source = coalesce(d.source, '') AND f.lang = coalesce(d.lang, '') AND f.topic = d.topic"""
+
+
+ORACLE["op9_mixing"] = _raking_sql()
