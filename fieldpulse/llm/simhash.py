@@ -201,5 +201,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     left = docs.join(gone, key, "left_anti")
     repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    if repeated.isEmpty():  # the usual case: the rest would shuffle all texts once more
+        return left
     single = left.join(repeated, key, "left_anti")
     return single.union(left.join(repeated, key, "left_semi").dropDuplicates([key]))
