@@ -1,0 +1,332 @@
+"""The operators against plain versions and on awkward rows: nulls, empty and long texts, ties, repeats,
+empty tables and extra columns with clashing names."""
+
+import random
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from fieldpulse.llm import (
+    components, decontaminate, hilbert, imatch, langid, pii, queries, raking, simhash, substrings, toxicity, url_filter,
+)
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp bigint, spans string, score int"
+PASSAGE = " ".join(f"word{i}" for i in range(30))
+LONG = " ".join(random.Random(5).choices("alpha beta gamma delta epsilon zeta eta theta iota kappa".split(), k=40_000))
+ROWS = [
+    (1, PASSAGE, "en", "a"), (2, "start " + PASSAGE + " end", "en", "a"), (3, PASSAGE, "en", "a"),
+    (4, None, "en", None), (5, "", None, "b"), (6, "   \n\t", "de", "b"), (None, PASSAGE, "en", "a"),
+    (None, None, None, None), (7, "One two", "en", "a"), (7, "One two", "en", "a"), (8, LONG, "fr", "c"),
+    (9, LONG + " tail", "fr", "c"), (10, "ÄÖÜ 123 \u2003x\u00a0y 中文 mail a@b.co_x@d.com", "de", "b"), (11, "A b A b " * 40, "es", "c"),
+    (12, "Call +1 (555) 010-0199, card 4111 1111 1111 1111, ip 10.0.0.256 1.2.3.4.5.6.7.8.", "en", "a"),
+    (-13, PASSAGE.upper(), "en", "a"),
+]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, t, la, so, None if t is None else len(t), 1, "x", 2) for d, t, la, so in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return frame(spark, ROWS).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def bag(rows):
+    return sorted(map(repr, rows))
+
+
+def test_url_rules_and_cascade(spark):
+    urls = ["http://A.Example.NET/en/x?q", "https://example.net", "http://x.net/de/1", "http://n.example.com/de/", "ftp://s.org/fr/#a",
+            "http://spam-farm.example.org/en/", "http://notexample.com/de/", "no url", None, "", "http://?x", "a://b://c/d"]
+    pages = spark.createDataFrame([(i, u, "listed") for i, u in enumerate(urls + urls[:1])], "page_id int, url string, listed string")
+    listed = F.col("host").startswith("spam")
+    want = None
+    for slice_keys, inline in ((1 << 18, 1 << 23), (2, 0)):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(
+            pages, queries.URL_RULES, listed, keys_per_slice=slice_keys, inline_bits=inline).collect()}
+        assert want in (None, got)
+        want = got
+    assert want[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
+    assert want[1] == ("example.net", "", None, "allow")
+    assert want[2][2:] == ("net/", "block") and want[3][2:] == ("example.com/de/", "block")
+    assert want[4] == ("s.org", "/fr/", "org/fr/", "allow") and want[5][2:] == (None, "block")
+    assert want[6][2:] == (None, "allow")
+    assert want[7][:2] == want[8][:2] == want[9][:2] == want[10][:2] == ("", "") and want[11][:2] == ("b:", "//c/d")
+    assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES, listed).count() == 0
+
+
+def test_cascade_is_exact(spark):
+    universe = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
+    for per_slice in (10_000, 500):
+        cascade = url_filter.build_cascade(universe, per_slice)
+        got = url_filter.add_listed(universe.withColumnRenamed("listed", "truth"), "key", cascade)
+        assert got.where("listed <> truth").count() == 0
+
+
+def test_pii_base_spans(awkward, nothing):
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind in pii.BASE_KINDS]
+           for r in pii.pii_spans(awkward).collect()}
+    for d, text, *_ in ROWS:
+        if d is not None:
+            assert got[d] == [(k, *s) for k, v in brute.base_spans(text).items() for s in v]
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices("a1@.+- (5)_x", k=rng.randint(0, 60)))
+        own = [(s.kind, s.start, s.end) for s in pii.find_spans(text) if s.kind in pii.BASE_KINDS]
+        assert own == [(k, *s) for k, v in brute.base_spans(text).items() for s in v], text
+    assert pii.pii_spans(nothing).count() == 0
+    more = [s.kind for s in pii.find_spans("bank IBAN DE89 3704 0044 0532 0130 00 AND ssn 123-45-6789 order 987-65-4321")]
+    assert "iban" in more and more.count("national_id") == 1
+    assert not [s for s in pii.find_spans("IBAN DE88 3704 0044 0532 0130 00") if s.kind == "iban"]
+
+
+def test_decontamination(spark, awkward, nothing):
+    items = [(1, PASSAGE), (2, " ".join(PASSAGE.split()[5:17]).upper()), (3, "one TWO"), (4, ""), (5, None), (6, "beta"),
+             (7, " ".join(LONG.split()[100:140])), (7, "one two"), (None, "gamma delta")]
+    table = spark.createDataFrame(items, "item_id int, text string")
+    got = bag((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.contamination(awkward, table).collect())
+    want = bag((d, len(w), sum(h), tuple(sorted(f - {"None"}))) for d, w, h, f in brute.benchmark_hits([r[:2] for r in ROWS], items))
+    assert got == want
+    assert decontaminate.contamination(nothing, table).count() == 0
+    clean = decontaminate.contamination(awkward, table.limit(0)).collect()
+    assert len(clean) == len(ROWS) and not any(r.n_hit for r in clean)
+    dirty = {w[0] for w in brute.benchmark_hits([r[:2] for r in ROWS], items) if any(w[2])}
+    assert {r.doc_id for r in decontaminate.clean_rows(awkward, table).collect()}.isdisjoint(dirty - {None})
+
+
+def test_winnowing_finds_every_window(spark):
+    rng = random.Random(1)
+    words = lambda n: " ".join(rng.choices("a b c d".split(), k=n))
+    docs = [(i, words(rng.randint(0, 80))) for i in range(150)]
+    items = [(i, words(rng.randint(1, 14))) for i in range(40)]
+    got = bag(tuple(r) for r in decontaminate.contamination(
+        spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    ).select("doc_id", "n_words", "n_hit", "items").collect())
+    assert got == bag((d, len(w), sum(h), sorted(f)) for d, w, h, f in brute.benchmark_hits(docs, items))
+
+
+def test_simhash(spark, awkward, nothing):
+    found = simhash.near_duplicates(awkward).collect()
+    assert bag((r.doc_id, r.fp % 2**64) for r in found) == bag((d, brute.simhash(t)) for d, t, *_ in ROWS)
+    component = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    assert component == brute.near_components({d: brute.simhash(t) for d, t, *_ in ROWS if d is not None})
+    kept = simhash.keep_first(awkward)
+    assert kept.columns == awkward.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(set(component.values())) and ids.count(None) == 2
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_anchors_lose_no_link(spark):
+    rng = random.Random(2)
+    fps = set()
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        fps |= {x, *(x ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(20))}
+    want = {(min(s, t), max(s, t)) for s in fps for t in fps if s != t and (s ^ t).bit_count() <= 2}
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    got = simhash.near_links(spark.createDataFrame([(signed(v),) for v in fps], "fp bigint")).collect()
+    assert len(got) == len(want)
+    assert {frozenset((r.a, r.b)) for r in got} == {frozenset(map(signed, p)) for p in want}
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)]
+    links += [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(150)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        ra, rb = find(a), find(b)
+        root[max(ra, rb)] = min(ra, rb)
+    assert got == {n: find(n) for a, b in links if a != b for n in (a, b)}
+
+
+def test_substrings(spark, awkward, nothing):
+    want = bag((d, len(w), sum(g), " ".join(x for x, y in zip(w, g) if not y))
+               for d, w, g in brute.repeated_words([r[:2] for r in ROWS]))
+    for chunk in (4 << 20, 2000):
+        got = substrings.remove_repeats(awkward, chunk_bytes=chunk, range_bytes=chunk)
+        assert bag(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept").collect()) == want
+    assert substrings.remove_repeats(nothing).count() == 0
+    rng = random.Random(6)
+    docs = [(rng.randrange(60), " ".join(rng.choices("a b".split(), k=rng.randint(0, 60)))) for _ in range(90)]
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id int, text string"), chunk_bytes=1500, range_bytes=900)
+    assert bag(tuple(r) for r in got.collect()) == bag(
+        (d, len(w), sum(g), " ".join(x for x, y in zip(w, g) if not y)) for d, w, g in brute.repeated_words(docs))
+
+
+def test_imatch(spark, awkward, nothing):
+    got = imatch.compare_edits(awkward).collect()
+    assert len(got) == len(ROWS)
+    prints = {}
+    for d, t, *_ in ROWS:
+        prints.setdefault(t or "", set())
+    text = {d: t or "" for d, t, *_ in ROWS if d is not None}
+    order = sorted(text)
+    for r in got:
+        if r.doc_id is None:
+            continue
+        prints[text[r.doc_id]].add(r.fingerprint)
+        own = text[r.doc_id]
+        assert r.n_chars == len(own) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if r.doc_id != 7:  # its row is repeated: the next document may be itself
+            after = text[order[(order.index(r.doc_id) + 1) % len(order)]] if r.doc_id != order[-1] else ""
+            cut = len(own) // 4
+            if r.doc_id != order[-1]:
+                assert r.edited_sha256 == brute.sha(own[: len(own) - cut] + after[:cut])
+    assert all(len(v) <= 1 for v in prints.values())
+    assert imatch.compare_edits(nothing).count() == 0 and imatch.fingerprints(awkward).count() == len(ROWS)
+    assert imatch.likeness("00:00.00", "05:00.00.00") == 0.0
+
+
+def test_imatch_order_wraps(spark):
+    docs = [(i, f"text number {i} " * 9) for i in range(57)]
+    got = {r.doc_id: r.edited_sha256 for r in imatch.compare_edits(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for i, t in docs:
+        cut = len(t) // 4
+        assert got[i] == brute.sha(t[: len(t) - cut] + docs[(i + 1) % len(docs)][1][:cut])
+
+
+def test_toxicity(spark, awkward, nothing):
+    rng = random.Random(7)
+    plain = lambda: ". ".join(" ".join(rng.choices("sun moon tree river stone cloud bird".split(), k=6)) for _ in range(5))
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        docs.append((i, plain() + (" you vile creature. " if toxic else " ") + plain(), "en", "a"))
+        labels.append((i, int(toxic)))
+    table, marks = frame(spark, docs), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(table, marks, use=F.col("doc_id") < 300)
+    scores = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    assert all((scores[i] >= 0.7) == bool(y) for i, y in labels)
+    found = toxicity.offending(table, model).collect()
+    assert {r.doc_id for r in found} == {i for i, y in labels if y} and all("vile" in r.sentence for r in found)
+    assert toxicity.clean_rows(table, model).columns == table.columns
+    odd = {r.doc_id: r.score for r in toxicity.score(awkward, model).collect()}
+    assert odd[4] == odd[5] == 0.0 and len(toxicity.score(awkward, model).collect()) == len(ROWS)
+    assert toxicity.score(nothing, model).count() == 0
+    untrained = toxicity.train(table, marks.limit(0))
+    assert toxicity.score(table, untrained).agg(F.max("score")).first()[0] == 0.0
+    assert toxicity.clean_rows(awkward, untrained).count() == len(ROWS)
+
+
+def test_hilbert_curve_is_continuous(spark):
+    side = spark.range(8)
+    cube = (side.select(F.col("id").cast("int").alias("x")).join(side.select(F.col("id").cast("int").alias("y")), F.lit(True))
+            .join(side.select(F.col("id").cast("int").alias("z")), F.lit(True)))
+    got = {r.h: (r.x, r.y, r.z) for r in cube.select(
+        "x", "y", "z", hilbert.curve_index([F.col("x"), F.col("y"), F.col("z")], 3).alias("h")).collect()}
+    assert sorted(got) == list(range(512))
+    assert all(sum(abs(a - b) for a, b in zip(got[i], got[i + 1])) == 1 for i in range(511))
+
+
+def test_shards(spark, awkward, nothing):
+    for docs, n in ((awkward, len(ROWS)), (frame(spark, ROWS[:3]), 3)):
+        got = hilbert.assign_shards(docs).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r.slot)
+            assert r.law == "rows" and r.grown_shard is None
+        assert len(got) == n and all(sorted(v) == list(range(len(v))) for v in by.values())
+        sizes = [len(by.get(s, [])) for s in range(16)]
+        assert max(sizes) - min(sizes) <= 1 and set(by) <= set(range(16))
+    crc = {r.doc_id: (r.size, r.text_crc32) for r in hilbert.assign_shards(awkward).collect()}
+    assert crc[10] == (len(ROWS[12][1].encode()) + 1, zlib.crc32(ROWS[12][1].encode())) and crc[4] == (1, 0)
+    assert hilbert.assign_shards(nothing).count() == 0
+
+
+def test_raking_meets_targets(spark, awkward, nothing):
+    rng = random.Random(8)
+    docs = [(i, "w " * rng.randint(1, 30), rng.choice("xyz"), rng.choice("abcd")) for i in range(500)]
+    cells = raking.cells_of(frame(spark, docs)).cache()
+    goals = {"source": {"a": 4.0, "b": 3.0, "c": 2.0, "d": 1.0}, "lang": {"x": 0.5, "y": 0.3, "z": 0.2}, "topic": {"prose": 1.0}}
+    tables = {d: spark.createDataFrame(list(v.items()), f"{d} string, share double") for d, v in goals.items()}
+    raked = [r.asDict() for r in raking.rake(cells, tables, rounds=12).collect()]
+    for d, goal in goals.items():
+        total = sum(goal.values())
+        for value, share in goal.items():
+            got = sum(r["tokens"] * r["weight"] for r in raked if r[d] == value)
+            assert abs(got - share / total) < 1e-6
+    assert raked[0]["gap"] < 1e-6
+    mixed = raking.mix(awkward)
+    assert mixed.count() == len(ROWS) and mixed.where("probability < 0 or probability > 1").count() == 0
+    assert raking.mix(nothing).count() == 0
+
+
+def test_language(spark, awkward, nothing):
+    rng = random.Random(9)
+    kinds = {"en": "the and with house water tree", "de": "und der mit haus wasser baum", "fr": "le et avec maison eau arbre"}
+    docs = [(i, " ".join(rng.choices(kinds[la].split(), k=30)), la, "a") for i, la in enumerate(rng.choices(list(kinds), k=300))]
+    table = frame(spark, docs)
+    model = langid.train(table, use=F.col("doc_id") < 200)
+    got = {r.doc_id: r for r in langid.predict(table, model).collect()}
+    assert all(got[i].lang_pred == la and 0 <= got[i].score <= 1 for i, _, la, _ in docs if i >= 200)
+    odd = {r.doc_id: r.lang_pred for r in langid.predict(awkward, model).collect()}
+    assert odd[4] == odd[5] == odd[6] == "und" and odd[10] != "und"
+    assert langid.predict(nothing, model).count() == 0
+    blank = langid.train(table.limit(0))
+    assert {r.lang_pred for r in langid.predict(awkward, blank).collect()} == {"und"}
+
+
+def test_pipeline_stages(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, before, folder)
+        assert after.columns == columns, name
+        rows = after.collect()
+        kept, was = {r.doc_id: r for r in rows}, {r.doc_id: r for r in before.collect()}
+        assert kept.items() <= was.items(), name
+        if name == "near_duplicates":
+            root = brute.near_components({d: brute.simhash(r.text) for d, r in was.items()})
+            assert set(kept) == set(root.values())
+        if name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+            hits = brute.benchmark_hits([(d, r.text) for d, r in was.items()], items)
+            assert set(kept) == {d for d, _, h, _ in hits if not any(h)}
+        before = spark.createDataFrame(rows, docs.schema)
+    last = corpus_pipeline.STAGES[4][1](spark, before, folder)
+    assert last.count() == before.count() and {"shard", "slot"} <= set(last.columns)
+
+
+def test_near_anchors_cover_all_changes():
+    rng = np.random.default_rng(0)
+    fps = rng.integers(0, 1 << 63, 50, dtype=np.int64).view(np.uint64)
+    rows, anchors = simhash.near_anchors(fps)
+    for i, x in enumerate(fps):
+        own = set(anchors[rows == i].tolist())
+        assert len(own) == int((rows == i).sum())
+        changed = [x] + [x ^ np.uint64(1 << a) for a in range(46)] + [
+            x ^ np.uint64(1 << a) ^ np.uint64(1 << b) for a in range(46) for b in range(a)]
+        assert set(simhash.home_anchors(np.array(changed, np.uint64)).tolist()) == own
+
+
+def test_scan_matches_python():
+    from fieldpulse.llm import scan
+    texts = [r[1] for r in ROWS]
+    words = scan.words(pa.array(texts), scan.SPACE)
+    data = words.data.tobytes()
+    for i, t in enumerate(texts):
+        own = [data[words.start[k]: words.end[k]].decode() for k in range(words.first[i], words.first[i + 1])]
+        assert own == brute.split_words(t)
+    same = dict(zip(words.hashes().tolist(), (data[a:b] for a, b in zip(words.start, words.end))))
+    assert len(same) == len(set(same.values()))
