@@ -1,7 +1,7 @@
 """Wall time of the headline queries; prints one JSON line.
 
 Every query runs once to warm up and then ``BENCH_RUNS`` times (default 1); the
-median counts.  ``shuffle_mb`` is what the last run of each query wrote to shuffles.
+median counts.  Queries of over a minute count with their only, cold run.
 """
 
 from __future__ import annotations

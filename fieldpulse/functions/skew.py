@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a single task may join without being split.
 ROWS_PER_PART = 2_000
-#: The number of largest keys that are split; this bounds the broadcast below.
-MAX_HOT_KEYS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """``(key, parts)`` of the largest keys above ``rows_per_part`` rows.
+    """``(key, parts)`` of all keys above ``rows_per_part`` rows.
 
-    At most ``MAX_HOT_KEYS`` rows, whatever the size of ``df``.  Keys that are
-    not listed are still joined, in one part: the list only balances the work.
+    Their number is at most the rows of ``df`` over ``rows_per_part``; whether the list is small enough
+    to broadcast is left to the planner.  Keys that are not listed are joined in one part.
     """
     return (
         df.groupBy(key).agg(F.count("*").alias("n"))
         .where(F.col("n") > rows_per_part)
-        .orderBy(F.desc("n"), key).limit(MAX_HOT_KEYS)
         .select(key, F.ceil(F.col("n") / rows_per_part).cast("int").alias("parts"))
     )
 
@@ -31,7 +28,7 @@ def split_join(left: DataFrame, right: DataFrame, key: str, salt_by: str,
 
     Rows of ``right`` are repeated once per part, for hot keys only.
     """
-    hot = F.broadcast(hot_keys(left, key, rows_per_part))
+    hot = hot_keys(left, key, rows_per_part)
     parts = F.coalesce(F.col("parts"), F.lit(1))
     salted = (
         left.join(hot, key, "left")
@@ -52,7 +49,7 @@ def distinct_pairs(df: DataFrame, key: str, member: str,
     split is the work of one hot key: its members fall into blocks and every
     pair of blocks is a join key of its own.
     """
-    hot = F.broadcast(hot_keys(df, key, rows_per_part))
+    hot = hot_keys(df, key, rows_per_part)
     parts = F.coalesce(F.col("parts"), F.lit(1))
     blocked = (
         df.join(hot, key, "left")

@@ -13,15 +13,14 @@ from .emerging import work_authors
 
 # Graph and display limits.
 MIN_PAPERS = 3
-MAX_AUTHORS = 20_000
 THRESHOLDS = (1, 2, 5, 10, 20)
 DISPLAY_NODES, DISPLAY_EDGES = 300, 1000
 PALETTE_SIZE = 15
 
 
 def author_nodes(authorships: DataFrame, min_papers: int = MIN_PAPERS,
-                 cap: int | None = MAX_AUTHORS) -> DataFrame:
-    """Authors with enough distinct works, the most productive first; ``cap=None`` keeps all.
+                 cap: int | None = None) -> DataFrame:
+    """Authors with enough distinct works; ``cap`` keeps the most productive ones.
 
     Names are looked up for the chosen authors only.
     """
@@ -58,14 +57,13 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 2) -> Da
     A deterministic baseline: all authors move at once, starting from their own id.
     """
     arcs = both_directions(edges)
-    labels = nodes.select("author_id", F.col("author_id").alias("label"))
+    labels = materialise(nodes.select("author_id", F.col("author_id").alias("label")))
     for _ in range(rounds):
         votes = arcs.join(labels.select(F.col("author_id").alias("dst"), "label"), "dst").groupBy(
             F.col("src").alias("author_id"), "label").agg(F.sum("weight").alias("w"))
-        most = votes.groupBy("author_id").agg(F.max("w").alias("w"))
-        best = votes.join(most, ["author_id", "w"]).groupBy("author_id").agg(F.min("label").alias("best"))
-        labels = labels.join(best, "author_id", "left").select(
-            "author_id", F.coalesce("best", "label").alias("label"))
+        best = votes.groupBy("author_id").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("best"))
+        labels = materialise(labels.join(best, "author_id", "left").select(
+            "author_id", F.coalesce("best", "label").alias("label")))
     return labels
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import extract_id, reconstruct_abstract
+from ..session import materialise
 from ..sources.works import select_works
 
 
@@ -24,11 +25,12 @@ def build_inverted_index(texts: DataFrame, key: str, text: str) -> DataFrame:
 def dedupe_works(raw: DataFrame) -> DataFrame:
     """Records with an id, the first delivery of each work.
 
-    Order of delivery is ``ingest_seq`` when present, else the scalar fields.
+    Order of delivery is ``ingest_seq``, which the readers set from the file time, the
+    file and the place in it; without it the scalar fields decide, then a hash of the whole record.
     The rank is limited on the map side, so copies of one work do not pile up.
     """
     order = ["ingest_seq"] if "ingest_seq" in raw.columns else []
-    order += ["display_name", "publication_year", "cited_by_count"]
+    order += ["display_name", "publication_year", "cited_by_count", F.xxhash64(F.to_json(F.struct("*")))]
     first = Window.partitionBy("work_id").orderBy(*order)
     return (
         raw.withColumn("work_id", extract_id("id")).where(F.col("work_id") != "")
@@ -83,7 +85,7 @@ def flat_tables(raw: DataFrame, keep_duplicates: bool = False) -> dict[str, Data
 
     With ``keep_duplicates`` child rows of every delivery are kept, works stay unique.
     """
-    survivors = keyed_works(raw)
+    survivors = materialise(keyed_works(raw))  # chosen once: all four tables see the same copies
     source = keyed_works(raw, True) if keep_duplicates else survivors
     return {
         "works": works_table(survivors), "work_topics": work_topics_table(source),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, StopWordsRemover
@@ -15,14 +16,13 @@ from ..functions.columns import unit, word_tokens
 from ..functions.ranking import top_rows
 from ..functions.stats import with_scalar
 
-# Paper cap, vocabulary limits and embedding batch.
-MAX_PAPERS = 50_000
-MAX_DF, MIN_DF, MAX_FEATURES = 0.85, 3, 10_000
+# Vocabulary limits and embedding batch.
+MAX_DF, MIN_DF = 0.85, 3
 BATCH = 64
 
 
-def papers_with_abstract(works: DataFrame, top: int | None = MAX_PAPERS) -> DataFrame:
-    """``(work_id, abstract_text)`` of works with text, the most cited first; ``None`` keeps all.
+def papers_with_abstract(works: DataFrame, top: int | None = None) -> DataFrame:
+    """``(work_id, abstract_text)`` of works with text; ``top`` keeps the most cited ones.
 
     The ranking moves ids and citations only; texts are looked up for the chosen.
     """
@@ -47,8 +47,8 @@ def document_terms(papers: DataFrame, stop_words: list[str] | None = None) -> Da
 
 
 def vocabulary(papers: DataFrame, terms: DataFrame, max_df: float = MAX_DF, min_df: int = MIN_DF,
-               max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """``(term, df, total)`` within the document-frequency limits, the most used terms first.
+               max_features: int | None = None) -> DataFrame:
+    """``(term, df, total)`` within the document-frequency limits; ``max_features`` keeps the most used.
 
     On a small corpus the lower limit shrinks to a third of the documents.
     """
@@ -61,14 +61,11 @@ def vocabulary(papers: DataFrame, terms: DataFrame, max_df: float = MAX_DF, min_
         words, [F.desc("total"), F.asc("term")], max_features)
 
 
-def tfidf(papers: DataFrame, terms: DataFrame, vocab: DataFrame, bounded: bool = True) -> DataFrame:
-    """``(work_id, term, weight)``: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), unit length per document.
-
-    ``bounded`` says that the vocabulary was capped, which makes it safe to broadcast.
-    """
+def tfidf(papers: DataFrame, terms: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(work_id, term, weight)``: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), unit length per document."""
     known = with_scalar(vocab, "_n", papers.agg(F.count("*").alias("n"))).select(
         "term", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = terms.join(F.broadcast(known) if bounded else known, "term").select(
+    rows = terms.join(known, "term").select(
         "work_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("work_id")))
     return rows.select("work_id", "term", (F.col("w") / norm).alias("weight"))
@@ -97,7 +94,7 @@ def embed_documents(papers: DataFrame, encoder: Callable[[], Callable[[list[str]
                 part = frame.iloc[start:start + batch]
                 rows = model(part["abstract_text"].tolist())
                 yield pd.DataFrame({"work_id": part["work_id"].tolist(),
-                                    "embedding": [[float(x) for x in r] for r in rows]})
+                                    "embedding": np.asarray(rows, dtype="float64").tolist()})
 
     coded = papers.select("work_id", "abstract_text").mapInPandas(
         encode, "work_id string, embedding array<double>")

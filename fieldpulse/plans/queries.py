@@ -462,7 +462,7 @@ def knn_graph(spark, folder):
 
 @register
 def kmeans(spark, folder):
-    return cluster.kmeans(_vectors(spark, folder), k=10, restarts=3, key="vec_id")
+    return cluster.kmeans(_vectors(spark, folder), key="vec_id")
 
 
 @register
@@ -477,12 +477,12 @@ def embed_documents(spark, folder):
 
 @register
 def paper_projections(spark, folder):
-    return rounded(cluster.paper_projections(texts(spark, folder)[0], k=10, restarts=2))
+    return rounded(cluster.paper_projections(texts(spark, folder)[0]))
 
 
 @register
 def cluster_summary(spark, folder):
-    return cluster.cluster_summary(cluster.paper_projections(texts(spark, folder)[0], k=10, restarts=1))
+    return cluster.cluster_summary(cluster.paper_projections(texts(spark, folder)[0]))
 
 
 @register
@@ -656,3 +656,17 @@ def live_counts(spark, folder):
         .select(F.col("event_id").alias("work_id"), F.col("event_type").alias("topic_id"), "ts"))
     return run_available(live_topic_counts(stream), spark).select(
         F.date_format("period_start", "yyyy-MM-dd").alias("period_start"), "topic_id", "work_count")
+
+
+@register
+def live_topic_tags(spark, folder):
+    """A stream of works with several topics each, over several files and batches."""
+    base = f"{shared_folder(spark)}/tags-{uuid.uuid4().hex}"
+    c = commerce(spark, folder)
+    dates = bindings.table(spark, folder, "orders").select(
+        bindings.prefixed("W", "o_orderkey").alias("work_id"), F.col("o_orderdate").alias("ts"))
+    rows = c.work_topics.select("work_id", "topic_id").join(dates, "work_id")
+    rows.repartition(4, "topic_id").write.parquet(base)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(base)
+    return run_available(live_topic_counts(stream, "30 days", "36500 days"), spark).groupBy("topic_id").agg(
+        F.sum("work_count").alias("work_count"), F.count("*").alias("periods"))

@@ -23,7 +23,25 @@ def read_works(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     reader = spark.read.schema(RAW_WORKS)
     if fmt == "json":
         reader = reader.option("mode", "PERMISSIVE")
-    return reader.format(fmt).load(path)
+    return in_delivery_order(reader.format(fmt).load(path))
+
+
+def in_delivery_order(files: DataFrame) -> DataFrame:
+    """Add ``ingest_seq``: file time, file, and the place of the record in it."""
+    return numbered_in_file(with_file(files))
+
+
+def with_file(files: DataFrame) -> DataFrame:
+    """Add ``_file``: file time, file and block of every record; also for streams."""
+    return files.select("*", F.struct(
+        F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block")).alias("_file"))
+
+
+def numbered_in_file(records: DataFrame) -> DataFrame:
+    """Turn ``_file`` into ``ingest_seq``; ids ascend within a block."""
+    return records.select(*[c for c in records.columns if c != "_file"], F.struct(
+        "_file.*", F.monotonically_increasing_id().alias("place")).alias("ingest_seq"))
 
 
 def select_works(raw: DataFrame, subfield: str = SUBFIELD_ID, years: tuple[int, int] = YEAR_RANGE,
@@ -41,7 +59,7 @@ def select_works(raw: DataFrame, subfield: str = SUBFIELD_ID, years: tuple[int,
 
 def project_fields(raw: DataFrame) -> DataFrame:
     """Only the fields that the flat tables need."""
-    return raw.select(*WORK_FIELDS)
+    return raw.select(*WORK_FIELDS, *[c for c in raw.columns if c == "ingest_seq"])
 
 
 def limit_works(raw: DataFrame, n: int | None) -> DataFrame:

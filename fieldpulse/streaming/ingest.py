@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import dedupe_works, flat_tables
 from ..schemas import RAW_WORKS, TABLES
+from ..session import materialise
+from ..sources.works import numbered_in_file, with_file
 
 
 def read_ingested(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -26,10 +28,11 @@ def ingest_incremental(spark: SparkSession, source: str, checkpoint: str, folder
     stream = (
         spark.readStream.schema(RAW_WORKS).option("maxFilesPerTrigger", files_per_batch)
         .option("mode", "PERMISSIVE").json(source))
+    stream = with_file(stream)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        fresh = dedupe_works(batch)
+        fresh = materialise(dedupe_works(numbered_in_file(batch)))
         if batch_id > 0:
             known = session.read.schema("work_id string, batch long").parquet(f"{folder}/works").where(
                 F.col("batch") != batch_id)

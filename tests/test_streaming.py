@@ -53,3 +53,35 @@ def test_live_counts_equal_the_batch_counts(spark, tmp_path):
     want = rows.groupBy(F.window("ts", "1 day").alias("w"), "topic_id").agg(F.count("*").alias("work_count")).select(
         F.col("w.start").alias("period_start"), "topic_id", "work_count")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_every_topic_of_a_work_is_counted_over_batches(spark, tmp_path):
+    folder = str(tmp_path / "tags")
+    for rows in ([("W1", "T1"), ("W1", "T2")], [("W2", "T1"), ("W1", "T1")], [("W3", "T2")]):
+        spark.createDataFrame(rows, "work_id string, topic_id string").withColumn(
+            "ts", F.timestamp_seconds(F.lit(1_700_000_000))).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("work_id string, topic_id string, ts timestamp").option(
+        "maxFilesPerTrigger", 1).parquet(folder)
+    got = run_available(live_topic_counts(stream, delay="30 days"), spark)
+    assert {r.topic_id: r.work_count for r in got.collect()} == {"T1": 2, "T2": 2}
+
+
+def test_a_stream_without_input_has_no_counts(spark, tmp_path):
+    folder = tmp_path / "none"
+    folder.mkdir()
+    stream = spark.readStream.schema("work_id string, topic_id string, ts timestamp").parquet(str(folder))
+    assert run_available(live_topic_counts(stream), spark).count() == 0
+
+
+def test_the_first_delivery_wins(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    topics = lambda t: [{"id": t, "display_name": t, "score": 1.0, "subfield": {"id": "1"}}]
+    (source / "a.json").write_text("\n".join(json.dumps(r) for r in [
+        {"id": "W1", "display_name": "zwei", "topics": topics("T1")}, {"id": "W1", "display_name": "one", "topics": topics("T2")},
+        {"id": "W2", "display_name": "same", "topics": topics("T9")}, {"id": "W2", "display_name": "same", "topics": topics("T8")}]))
+    tables = ingest.flat_tables(read_works(spark, str(source)))
+    assert {r.work_id: r.title for r in tables["works"].collect()} == {"W1": "zwei", "W2": "same"}
+    assert {(r.work_id, r.topic_id) for r in tables["work_topics"].collect()} == {("W1", "T1"), ("W2", "T9")}
+    ingest_incremental(spark, str(source), str(tmp_path / "state"), out).awaitTermination()
+    assert {r.work_id: r.title for r in read_ingested(spark, out, "works").collect()} == {"W1": "zwei", "W2": "same"}
