@@ -38,7 +38,7 @@ from . import scan
 PERIOD, COVER = 7, (0, 1, 3)
 WINDOW = 13
 #: Bytes of text of a chunk and of a hash range, on average.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 RANGE_BYTES = 32 << 20
 
 _LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
