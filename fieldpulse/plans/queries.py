@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,9 @@ from ..operators import (
     cluster, communities, emerging, evaluate, evolution, graph, ingest, neighbours, text, topics, transitions, views,
 )
 from ..session import materialise, shared_folder
-from ..sources import bindings
+from ..sources import bindings, sinks
 from ..sources.bindings import commerce, raw_works, texts
-from ..sources.works import limit_works, project_fields, select_works
+from ..sources.works import limit_works, load_table, project_fields, select_works
 from ..streaming.ingest import ingest_incremental, read_ingested
 from ..streaming.live import live_topic_counts, run_available
 
@@ -34,6 +35,7 @@ EVIDENCE_TOPICS = ["Brand#1", "Brand#13"]
 EVIDENCE_YEARS = (1996, 1999)
 EVIDENCE_TITLE = "urgent"
 STOP_WORDS = list(TITLE_STOP_WORDS)
+STORED_YEARS = (1995, 1997)
 SELECTION = {"subfield": "1", "years": (1996, 1999), "work_type": "article", "min_citations": 50}
 
 
@@ -142,6 +144,14 @@ def updated_rows(spark, folder):
     return evolution.updated_rows(_stats(spark, folder))
 
 
+@register
+def stored_stats(spark, folder):
+    """The stored table by year, and back: only the folders of the asked years are read."""
+    base = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    sinks.overwrite_table(_stats(spark, folder), base, "topic_year_stats")
+    return rounded(load_table(spark, base, "topic_year_stats", STORED_YEARS))
+
+
 @register
 def merge_counts(spark, folder):
     """Seed: orders per priority and brand-named counts of customers' years; computed: the counts."""
@@ -416,6 +426,42 @@ def graph_robustness(spark, folder):
     return rounded(communities.graph_robustness(nodes, edges))
 
 
+@register
+def community_invariants(spark, folder):
+    """What holds for any good partition: all placed, numbered by size, connected, better than plain ones."""
+    nodes, edges = _graph(spark, folder)
+    edges = materialise(edges)
+    placed = materialise(communities.detect_communities(nodes, edges))
+    sizes = materialise(placed.groupBy("community_id").agg(F.count("*").alias("n")))
+    later = sizes.select((F.col("community_id") - 1).alias("community_id"), F.col("n").alias("next"))
+    rising = sizes.join(later, "community_id").agg(F.count_if(F.col("next") > F.col("n"))).scalar()
+    parts = communities.connected_parts(
+        placed.select(F.col("author_id").alias("id"), F.col("community_id").alias("comm")),
+        graph.both_directions(edges))
+    n_parts = parts.agg(F.countDistinct("comm")).scalar()
+    n_sizes = sizes.agg(F.count("*")).scalar()
+
+    def quality(members: DataFrame, name: str):
+        value = graph.modularity(edges, members.select("author_id", F.col(name).alias("community_id")))
+        return F.round(F.coalesce(value.scalar(), F.lit(0.0)), 9)
+
+    found = quality(placed, "community_id")
+    labels = graph.label_propagation(nodes, edges)
+    return placed.agg(F.countDistinct("author_id").alias("authors")).select(
+        "authors", (rising == 0).alias("by_size"), (n_parts == n_sizes).alias("connected"),
+        (found >= quality(nodes, "author_id")).alias("above_single"),
+        (found >= quality(labels, "label")).alias("above_labels"))
+
+
+@register
+def robustness_invariants(spark, folder):
+    """Authors and edges per threshold, and whether communities and modularity lie within their bounds."""
+    found = communities.graph_robustness(*_graph(spark, folder)).where("n_authors > 0")
+    bounded = F.col("n_communities").between(1, F.col("n_authors")) & F.coalesce(
+        F.col("modularity").between(-0.5, 1.0), F.lit(True))
+    return found.select("min_papers", "n_authors", "n_edges", bounded.alias("bounded"))
+
+
 # -- text and vectors ------------------------------------------------------------------------------
 
 def _papers_text(spark, folder) -> DataFrame:
@@ -506,6 +552,65 @@ def lda_summary(spark, folder):
     return topics.lda_summary(topics.topic_words(fit), topics.dominant_topic(fit))
 
 
+@register
+def kmeans_invariants(spark, folder):
+    """Rows, clusters, and whether nearly every vector lies nearest to the mean of its own cluster."""
+    vectors = _vectors(spark, folder)
+    own = materialise(cluster.kmeans(vectors, key="vec_id"))
+    means = cluster.centroids(vectors.join(own, "vec_id"), "cluster_id")
+    nearest = cluster.assign_clusters(vectors, means, "vec_id").select("vec_id", F.col("cluster_id").alias("nearest"))
+    return own.join(nearest, "vec_id").agg(
+        F.count("*").alias("vectors"), F.countDistinct("cluster_id").alias("clusters"),
+        (F.avg((F.col("nearest") == F.col("cluster_id")).cast("int")) >= 0.99).alias("settled"))
+
+
+@register
+def projection_invariants(spark, folder):
+    """Two centred, uncorrelated components, the first with the larger variance."""
+    x, y = F.col("proj_x"), F.col("proj_y")
+    return cluster.project_2d(_vectors(spark, folder), "vec_id").agg(
+        F.count("*").alias("vectors"),
+        ((F.abs(F.avg(x)) < 1e-6) & (F.abs(F.avg(y)) < 1e-6)).alias("centred"),
+        (F.abs(F.covar_pop(x, y)) < 1e-6).alias("uncorrelated"),
+        (F.var_pop(x) >= F.var_pop(y)).alias("ordered"))
+
+
+@register
+def embedding_invariants(spark, folder):
+    """Dimensions of every embedding, and whether it has unit length or is zero."""
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return text.embed_documents(_papers_text(spark, folder)).select(
+        "work_id", F.size("embedding").alias("dims"),
+        ((F.abs(squares - 1) < 1e-4) | (squares == 0)).alias("unit"))
+
+
+def _lda(spark, folder) -> topics.TopicModel:
+    return topics.fit_lda(texts(spark, folder)[0], stop_words=STOP_WORDS)
+
+
+@register
+def lda_topic_invariants(spark, folder):
+    """Words per topic, how many of them are in the vocabulary, and whether the perplexity is above 1."""
+    fit = _lda(spark, folder)
+    papers = _papers_text(spark, folder)
+    known = text.vocabulary(papers, text.document_terms(papers, STOP_WORDS)).select("term", F.lit(1).alias("in"))
+    words = topics.topic_words(fit).select("topic_id", F.explode(F.split("top_words", ", ")).alias("term"))
+    perplexity = topics.lda_perplexity(fit).select("perplexity").scalar()
+    return words.join(known, "term", "left").groupBy("topic_id").agg(
+        F.countDistinct("term").alias("words"), F.count("in").alias("known")).select(
+        "topic_id", "words", "known", (perplexity > 1).alias("above_one"))
+
+
+@register
+def lda_document_invariants(spark, folder):
+    """Whether a document has a dominant topic, and whether topic and share lie within their bounds."""
+    bounded = F.col("lda_topic_id").between(0, topics.TOPICS - 1) & (
+        F.col("probability").between(1 / topics.TOPICS - 1e-9, 1 + 1e-9))
+    return topics.dominant_topic(_lda(spark, folder)).select(
+        "work_id", F.col("lda_topic_id").isNotNull().alias("assigned"),
+        F.coalesce(bounded, F.lit(True)).alias("bounded"))
+
+
 # -- evaluation ------------------------------------------------------------------------------------
 
 def _coherence(spark, folder) -> DataFrame:
@@ -532,6 +637,21 @@ def npmi_by_language(spark, folder):
     return rounded(evaluate.topic_coherence(groups, texts(spark, folder)[0]))
 
 
+@register
+def npmi_of_models(spark, folder):
+    """Coherence of given topics, of text clusters and of topic-model topics side by side."""
+    docs, tags = texts(spark, folder)
+    clusters = materialise(cluster.paper_projections(docs))
+    modelled = materialise(topics.dominant_topic(topics.fit_lda(docs)).where("lda_topic_id is not null"))
+    groups = {"given": tags, **{
+        name: rows.select("work_id", F.col(column).cast("string").alias("topic_id"),
+                          F.concat(F.lit(f"{name} "), F.col(column).cast("string")).alias("topic_name"))
+        for name, rows, column in (("cluster", clusters, "cluster_id"), ("model", modelled, "lda_topic_id"))}}
+    parts = [evaluate.coherence_summary(materialise(evaluate.topic_coherence(g, docs))).withColumn("grouping", F.lit(name))
+             for name, g in groups.items()]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @register
 def trend_sanity(spark, folder):
     return rounded(evaluate.trend_sanity(_stats(spark, folder), BRAND_PATTERNS, BRAND_PIVOT))

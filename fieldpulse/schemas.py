@@ -42,6 +42,12 @@ TABLES = {
                          "overlap_ratio double, transition_type string",
 }
 
+#: Tables that are stored in one folder per year, and the column that names it.
+YEAR_COLUMN = {
+    "works": "publication_year", "topic_year_stats": "year", "emerging_topic_signals": "year",
+    "emerging_topic_papers": "year", "topic_transitions": "year",
+}
+
 
 def empty(spark: SparkSession, table: str) -> DataFrame:
     """A zero-row frame with the declared schema of ``table``."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import functions as F
 
-from ..schemas import TABLES
+from ..schemas import TABLES, YEAR_COLUMN
 
 
 def _conformed(df: DataFrame, table: str) -> DataFrame:
@@ -12,11 +13,20 @@ def _conformed(df: DataFrame, table: str) -> DataFrame:
     return df.selectExpr(*[f"cast(`{name}` as {kind}) as `{name}`" for name, kind in fields])
 
 
+def _writer(df: DataFrame, table: str) -> DataFrameWriter:
+    """Tables with a year lie in one folder per year.
+
+    The rebalancing keeps the files of a year few, and splits a year that is too large for one task.
+    """
+    rows, year = _conformed(df, table), YEAR_COLUMN.get(table)
+    return rows.write if year is None else rows.hint("rebalance", F.col(year)).write.partitionBy(year)
+
+
 def overwrite_table(df: DataFrame, folder: str, table: str) -> None:
     """Replace a derived table, also by zero rows; the source must not read the same folder."""
-    _conformed(df, table).write.mode("overwrite").parquet(f"{folder}/{table}")
+    _writer(df, table).mode("overwrite").parquet(f"{folder}/{table}")
 
 
 def append_table(df: DataFrame, folder: str, table: str) -> None:
     """Add rows to a base table."""
-    _conformed(df, table).write.mode("append").parquet(f"{folder}/{table}")
+    _writer(df, table).mode("append").parquet(f"{folder}/{table}")

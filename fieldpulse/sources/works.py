@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RAW_WORKS, TABLES
+from ..schemas import RAW_WORKS, TABLES, YEAR_COLUMN
 
 # The default corpus filter and the projected fields.
 SUBFIELD_ID = "1702"
@@ -69,9 +69,7 @@ def limit_works(raw: DataFrame, n: int | None) -> DataFrame:
 
 def load_table(spark: SparkSession, folder: str, table: str,
                years: tuple[int, int] | None = None) -> DataFrame:
-    """A stored table, restricted to a year range by a pushed-down filter."""
-    df = spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
-    if years is None:
-        return df
-    year = "publication_year" if table == "works" else "year"
-    return df.where(F.col(year).between(*years))
+    """A stored table; only the folders of the years in the range are read."""
+    stored = spark.read.schema(TABLES[table]).parquet(f"{folder}/{table}")
+    df = stored.select(*[field.split(" ")[0] for field in TABLES[table].split(", ")])
+    return df if years is None else df.where(F.col(YEAR_COLUMN[table]).between(*years))
