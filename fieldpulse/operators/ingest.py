@@ -11,15 +11,16 @@ from ..sources.works import select_works
 
 
 def build_inverted_index(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, abstract_inverted_index)``: each word of a text with its positions."""
-    words = texts.select(key, F.posexplode(F.split(F.trim(F.regexp_replace(
-        text, r"(?U)\s+", " ")), " ")).alias("pos", "word")).where(F.col("word") != "")
+    """``(key, abstract_inverted_index)``, one row per key: each word of its text with its positions.
+
+    The texts are dealt out by key once; both groupings then stay within their partition.
+    """
+    whole = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    words = texts.select(key, whole.alias("_whole")).repartition(key).select(
+        key, F.posexplode_outer(F.split("_whole", " ")).alias("pos", "word"))
     places = words.groupBy(key, "word").agg(F.array_sort(F.collect_list("pos")).alias("at"))
-    index = places.groupBy(key).agg(F.map_from_entries(
-        F.collect_list(F.struct("word", "at"))).alias("abstract_inverted_index"))
-    empty = F.create_map().cast("map<string,array<int>>")
-    return texts.select(key).join(index, key, "left").withColumn(
-        "abstract_inverted_index", F.coalesce("abstract_inverted_index", empty))
+    entries = F.collect_list(F.when(F.col("word") != "", F.struct("word", "at")))
+    return places.groupBy(key).agg(F.map_from_entries(entries).alias("abstract_inverted_index"))
 
 
 def dedupe_works(raw: DataFrame) -> DataFrame:

@@ -214,3 +214,58 @@ def test_loaders_and_sinks(spark, tmp_path):
     assert source.load_table(spark, folder, "work_topics").count() == 10
     sinks.overwrite_table(empty(spark, "works"), folder, "works")
     assert source.load_table(spark, folder, "works").count() == 0
+
+
+def test_years_are_folders(spark, tmp_path):
+    from fieldpulse.sources import sinks, works as source
+
+    folder = str(tmp_path)
+    rows = [dict(work_id=f"W{i}", publication_year=y) for i, y in enumerate([2018, 2019, 2019, 2020, None])]
+    sinks.overwrite_table(table(spark, "works", rows), folder, "works")
+    assert (tmp_path / "works" / "publication_year=2019").is_dir()
+    asked = source.load_table(spark, folder, "works", (2019, 2020))
+    assert asked.columns == [f.split(" ")[0] for f in TABLES["works"].split(", ")]
+    assert sorted(r.work_id for r in asked.collect()) == ["W1", "W2", "W3"]
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(publication_year" in plan and "DataFilters: []" in plan
+    every = source.load_table(spark, folder, "works").collect()
+    assert sorted((r.work_id, r.publication_year) for r in every)[-1] == ("W4", None)
+
+
+def _record(title, topic, **extra):
+    return {"id": "https://example.org/W1", "display_name": title, "publication_year": 2019, "cited_by_count": 3,
+            "topics": [{"id": f"https://example.org/{topic}", "display_name": topic, "score": 1.0}], **extra}
+
+
+def test_first_delivery_wins_although_its_title_sorts_last(spark, tmp_path):
+    import json
+    import os
+
+    from fieldpulse.sources.works import read_works
+
+    for i, title in enumerate(["zwei", "one"]):
+        file = tmp_path / f"{1 - i}.json"  # the later file has the smaller name
+        file.write_text(json.dumps(_record(title, f"T{i}")))
+        os.utime(file, (1_600_000_000 + i, 1_600_000_000 + i))
+    tables = ingest.flat_tables(read_works(spark, str(tmp_path)))
+    assert [r.title for r in tables["works"].collect()] == ["zwei"]
+    assert [r.topic_id for r in tables["work_topics"].collect()] == ["T0"]
+
+
+def test_children_come_from_the_surviving_copy(spark, tmp_path):
+    import json
+
+    from fieldpulse.sources.works import read_works
+
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(_record(
+        "same", topic, referenced_works=[f"https://example.org/{topic}"])) for topic in ["T9", "T1"]))
+    tables = ingest.flat_tables(read_works(spark, str(tmp_path)))
+    assert [r.primary_topic_id for r in tables["works"].collect()] == ["T9"]
+    assert [r.topic_id for r in tables["work_topics"].collect()] == ["T9"]
+    assert [r.referenced_work_id for r in tables["citations"].collect()] == ["T9"]
+
+
+def test_inverted_index_of_empty_and_null_texts(spark):
+    docs = spark.createDataFrame([(1, "b a  b"), (2, ""), (3, None), (4, " \t ")], "k int, t string")
+    found = {r.k: r.abstract_inverted_index for r in ingest.build_inverted_index(docs, "k", "t").collect()}
+    assert found == {1: {"b": [0, 2], "a": [1]}, 2: {}, 3: {}, 4: {}}
