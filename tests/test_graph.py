@@ -73,13 +73,13 @@ def test_communities_are_connected(spark, planted):
 
 
 def test_long_chain_connects(spark):
-    from fieldpulse.operators.communities import G, _connected_parts
+    from fieldpulse.operators.communities import G, connected_parts
 
     n = 120
     members = spark.range(n).select(F.lit(0).alias(G), "id", F.lit(5).cast("long").alias("comm"))
     steps = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     arcs = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    parts = _connected_parts(members, arcs.withColumn("weight", F.lit(1.0)))
+    parts = connected_parts(members, arcs.withColumn("weight", F.lit(1.0)))
     assert [r.comm for r in parts.select("comm").distinct().collect()] == [0]
 
 
