@@ -61,10 +61,10 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
 def _flags(h: np.ndarray, packed: dict[int, bytes], ranges: int) -> np.ndarray:
     """Answers of all ranges put in the order of the sorted hashes."""
     out = np.zeros(len(h), bool)
-    cuts = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
-    for r, bits in packed.items():
-        own = np.frombuffer(bits, np.uint8)
-        out[cuts[r]: cuts[r + 1]] = np.unpackbits(own, count=cuts[r + 1] - cuts[r]).astype(bool)
+    of, here = _range_of(h, ranges), np.array(list(packed), np.int64)
+    firsts, ends = np.searchsorted(of, here), np.searchsorted(of, here, side="right")
+    for first, end, bits in zip(firsts, ends, packed.values()):
+        out[first:end] = np.unpackbits(np.frombuffer(bits, np.uint8), count=end - first).astype(bool)
     return out
 
 
@@ -115,13 +115,16 @@ class _Chunk:
 
 
 def _rows(chunk: int, h: np.ndarray, ranges: int, **columns: np.ndarray) -> pa.Table:
-    """One packed row per hash range; every range of the chunk that holds something."""
-    cuts = np.searchsorted(_range_of(h, ranges), np.arange(ranges + 1))
-    own = [r for r in range(ranges) if cuts[r] < cuts[r + 1]]
+    """One packed row per hash range in which ``h`` (ascending) has something.
+
+    The work grows with the hashes, not with the number of ranges.
+    """
+    own, cuts = np.unique(_range_of(h, ranges), return_index=True)
+    cuts = np.append(cuts, len(h))
     data = {"range": pa.array(own, pa.int32()), "chunk": pa.array([chunk] * len(own), pa.int64())}
     for name in ("a", "b", "ids", "shared"):
         if name in columns:
-            cells = [columns[name][cuts[r]: cuts[r + 1]] for r in own]
+            cells = [columns[name][a:b] for a, b in zip(cuts, cuts[1:])]
             data[name] = pa.array([(np.packbits(c) if c.dtype == bool else c).tobytes() for c in cells], pa.binary())
         else:
             data[name] = pa.nulls(len(own), pa.binary())
