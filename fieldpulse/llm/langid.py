@@ -7,8 +7,9 @@ trained by stochastic gradient descent in numpy.  A temperature, fitted on docum
 did not see, makes the probabilities honest; below ``reject`` (the lowest score at which those
 documents were right in ``PRECISION`` of the cases) a prediction is marked as not accepted.
 
-Training takes at most ``MAX_ROWS`` documents, chosen by a hash of the id, and runs in one task.  Prediction
-reads every text in full; both layers fold into one table of languages per bucket.
+Training takes at most ``MAX_ROWS`` documents, chosen by a hash of the id, with at most ``MAX_BYTES`` of text in
+all, and runs in one task.  An id of many rows gives one text.  Prediction reads every text in full; both
+layers fold into one table of languages per bucket.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and not accepted; rows with
 a null language are not trained on; rows without an id are predicted and not trained on; without any
@@ -27,7 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import scan
+from .sample import MAX_BYTES, within
 
 MAX_ROWS = 6_000
 BUCKETS = 1 << 16
@@ -146,7 +149,7 @@ def fit(texts: pa.Array, langs: list[str], held: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, use: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          max_rows: int = MAX_ROWS) -> Model:
+          max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Fit on a bounded sample; ``use`` is a condition on the key column."""
     eligible = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     if use is not None:
@@ -156,22 +159,22 @@ def train(docs: DataFrame, use: Column | None = None, key: str = "doc_id", text:
         "_order", key, "_lang").limit(max_rows)
     rows = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(
         F.broadcast(ids), [key, "_lang"])
+    single = materialise(rows.where(F.col("_text").isNotNull()).groupBy(F.col("_order").alias("order")).agg(
+        F.min(F.struct("_lang", "_text")).alias("one")))
+    sample = within(single.select("order", F.col("one._text").alias("text"), F.col("one._lang").alias("lang")),
+                    ["order"], max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
         if not tables:
             return
-        table = pa.concat_tables(tables).sort_by([("order", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-        order = table.column("order").to_numpy()
-        once = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-        table = table.take(pa.array(once))
+        table = pa.concat_tables(tables).sort_by([("order", "ascending")])
         held = (np.arange(table.num_rows) % CALIBRATION) == 0
         if table.num_rows < 5 * CALIBRATION:
             held[:] = False
         model = fit(scan.column(table, "text"), table.column("lang").to_pylist(), held)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    sample = rows.select(F.col("_order").alias("order"), F.col("_text").alias("text"), F.col("_lang").alias("lang"))
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Model([], np.zeros((0, BUCKETS)), np.zeros(0))
 

@@ -11,7 +11,8 @@ features; their weights start from the log odds and are refined by stochastic gr
 the document likelihood.
 
 Training takes at most ``MAX_POSITIVE`` toxic and ``MAX_NEGATIVE`` other labelled documents, chosen by a hash of
-the id, and runs in one task.  Scoring covers all documents in full.
+the id, with at most ``MAX_BYTES`` of text in all, and runs in one task.  An id of many rows gives one text.
+Scoring covers all documents in full.
 
 Edge cases: a null or empty text has no sentence and score 0; rows without an id are scored and not
 trained on; labels that are null are ignored; of repeated labels for an id the largest counts; without
@@ -30,7 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import scan
+from .sample import MAX_BYTES, within
 
 MAX_POSITIVE = 3_000
 MAX_NEGATIVE = 6_000
@@ -228,7 +231,8 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: str = "doc_id", text: str = "text",
-          label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
+          label: str = "toxic", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE,
+          max_bytes: int = MAX_BYTES) -> Model:
     """Fit on a bounded sample of labelled documents; ``use`` is a condition on the key column."""
     known = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -239,20 +243,18 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
     ids = known.where("_y = 1").orderBy(order, key).limit(max_positive).union(
         known.where("_y = 0").orderBy(order, key).limit(max_negative))
     rows = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(ids), key)
+    single = materialise(rows.groupBy(F.col(key).alias("id")).agg(F.max("_y").alias("y"), F.min("_text").alias("text")))
+    placed = single.withColumn("order", F.xxhash64(F.col("id").cast("string")))
+    sample = within(placed, ["order", "id"], max_bytes).select("id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
         if not tables:
             return
-        table = pa.concat_tables(tables).sort_by([("id", "ascending"), ("text", "ascending")])
-        # rows that repeat an id count once
-        ids = table.column("id").to_numpy()
-        once = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        table = table.take(pa.array(once))
+        table = pa.concat_tables(tables).sort_by([("id", "ascending")])
         model = fit(scan.column(table, "text"), scan.column(table, "y").to_numpy().astype(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    sample = rows.select(F.col(key).alias("id"), F.col("_text").alias("text"), F.col("_y").alias("y"))
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Model(np.zeros(0, np.uint64), np.zeros(0), BIAS)
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldpulse.llm import (
-    components, decontaminate, hilbert, imatch, langid, pii, queries, raking, simhash, substrings, toxicity, url_filter,
+    components, decontaminate, hilbert, imatch, langid, pii, queries, raking, sample, simhash, substrings, toxicity,
+    url_filter,
 )
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp bigint, spans string, score int"
@@ -169,8 +170,31 @@ def test_substrings(spark, awkward, nothing):
     rng = random.Random(6)
     docs = [(rng.randrange(60), " ".join(rng.choices("a b".split(), k=rng.randint(0, 60)))) for _ in range(90)]
     got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id int, text string"), chunk_bytes=1500, range_bytes=900)
-    assert bag(tuple(r) for r in got.collect()) == bag(
-        (d, len(w), sum(g), " ".join(x for x, y in zip(w, g) if not y)) for d, w, g in brute.repeated_words(docs))
+    want = bag((d, len(w), sum(g), " ".join(x for x, y in zip(w, g) if not y)) for d, w, g in brute.repeated_words(docs))
+    assert bag(tuple(r) for r in got.collect()) == want
+    table = spark.createDataFrame(docs, "doc_id int, text string")
+    many = substrings.remove_repeats(table, chunk_bytes=1500, range_bytes=2)  # more ranges than anchors
+    assert bag(tuple(r) for r in many.collect()) == want
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(1, "a" * 10), (2, None), (3, "b" * 300), (4, "c" * 10), (5, ""), (6, "ä" * 5), (7, "d" * 10)]
+    table = spark.createDataFrame(rows, "order int, text string")
+    kept = lambda n: sorted(r.order for r in sample.within(table, ["order"], n).collect())
+    assert kept(640 * 64) == [r[0] for r in rows]
+    assert kept(640) == [1, 2, 4, 5, 6, 7]  # a text over a 64th of the bytes is left out
+    assert kept(64) == [2, 5]
+    assert sample.within(table.limit(0), ["order"]).count() == 0
+    wide = spark.createDataFrame([(i, "e" * 10) for i in range(100)], "order int, text string")
+    assert sorted(r.order for r in sample.within(wide, ["order"], 640).collect()) == list(range(64))
+    # an id of very many rows trains like one of a single row
+    docs = [(i, ("vile beast. " if i % 4 == 0 else "calm river. ") + f"word{i % 7} stone tree", "en", "a") for i in range(120)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    once, often = (toxicity.train(frame(spark, docs + [docs[0]] * n), marks) for n in (0, 2000))
+    assert once.features.tolist() == often.features.tolist() and once.weights.tolist() == often.weights.tolist()
+    talk = [(i, "the house and tree" if i % 2 else "der baum und haus", "en" if i % 2 else "de", "a") for i in range(60)]
+    once, often = (langid.train(frame(spark, talk + [talk[0]] * n)) for n in (0, 2000))
+    assert (once.table == often.table).all() and once.langs == often.langs
 
 
 def test_imatch(spark, awkward, nothing):
