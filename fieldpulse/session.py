@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -31,6 +32,12 @@ def build_session(app: str = "fieldpulse", master: str | None = None,
 _local_folders: dict[str, str] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder for written intermediate tables.
 
@@ -40,23 +47,24 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     folder = spark.conf.get(CHECKPOINT_SETTING, None) or _local_folders.get(app)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not is_local(spark):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
         folder = _local_folders[app] = tempfile.mkdtemp(prefix="fieldpulse-")
     return f"{folder.rstrip('/')}/fieldpulse/{app}"
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a few large files dealt out to all cores before heavy per-row work.
+    """Rows dealt out to all cores of a local session before heavy per-row work.
 
-    Input of at least as many files as cores is left where it is.
+    Local tables are a file or two, which one task each would read; on a cluster the rows stay where
+    they are, and no text is shuffled for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    spark = df.sparkSession
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if is_local(spark) else df
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialise(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, as ``schema`` if the stored layout has other names.
 
     Cuts the lineage of iterative jobs and survives lost executors.  Unlike an
     RDD checkpoint the result keeps column pruning and its true size, so later
@@ -65,4 +73,4 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
