@@ -12,7 +12,7 @@ cells and is written, so plans stay small.  A hot source is one row of its cell
 Edge cases: null source or language count as the value ``''``; null and empty texts have no tokens and
 are drawn like the others of their cell; values whose cells hold no token get factor 0; targets
 are scaled to the values that occur; a null key has a draw of its own; repeated rows share their draw;
-an empty table gives an empty result; columns named like a result are replaced.
+an empty table gives an empty result; columns named like a result are replaced, but ``drawn_rows`` keeps them.
 """
 
 from __future__ import annotations
@@ -123,3 +123,10 @@ def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = R
     powers = powers or TEMPER
     cells = materialise(cells_of(docs, text, topic))
     return calibrated(docs, rake(cells, {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}, rounds), key, text, topic)
+
+
+def drawn_rows(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = ROUNDS, key: str = "doc_id",
+               text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``mix`` draws, all columns as they are, also those named like its results."""
+    used = docs.select(F.struct(*docs.columns).alias("_row"), key, text, "source", "lang")
+    return mix(used, powers, rounds, key, text).where("sampled").select("_row.*")

@@ -293,6 +293,12 @@ def test_raking_meets_targets(spark, awkward, nothing):
     mixed = raking.mix(awkward)
     assert mixed.count() == len(ROWS) and mixed.where("probability < 0 or probability > 1").count() == 0
     assert raking.mix(nothing).count() == 0
+    drawn = mixed.where("sampled").select(awkward.columns).collect()
+    named = awkward.withColumns({c: F.lit("own") for c in ("topic", "weight", "probability", "sampled")})
+    clashing = raking.drawn_rows(named)
+    assert clashing.columns == named.columns and clashing.where("topic = 'own' and sampled = 'own'").count() == len(drawn)
+    assert bag(tuple(r) for r in clashing.select(awkward.columns).collect()) == bag(tuple(r) for r in drawn)
+    assert raking.drawn_rows(nothing).count() == 0
 
 
 def test_language(spark, awkward, nothing):
