@@ -6,6 +6,11 @@ A document's weight is the product of its three factors; its sampling probabilit
 the largest one, so the expected token mix of the sample is the target mix.  The draw is a fixed
 hash of the key: the same document is drawn alike in every run and at every size.
 
+With ``keep`` the sample has that share of all tokens instead, whatever the rarest cell is: probabilities
+are raked themselves, at most 1 each.  A value that has fewer tokens than its target is taken in full and
+the others of its dimension share the rest; so does a cell within its values.  Rounds end when every
+total is within ``TOLERANCE`` of its target; targets that cannot be met together give a warning with the gap.
+
 Only the table of cells and the factors take part in the rounds; every step is one aggregate over the
 cells and is written, so plans stay small.  A hot source is one row of its cell table.
 
@@ -17,6 +22,8 @@ an empty table gives an empty result; columns named like a result are replaced,
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +31,11 @@ from ..session import materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 8
+#: Share of all tokens that the pipeline draws.
+KEEP = 0.6
+#: Relative distance to a target at which bounded rounds end, and their number at most.
+TOLERANCE = 0.01
+MAX_ROUNDS = 30
 #: A share is raised to this power, which lifts small values: the default targets.
 TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.9}
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -100,14 +112,66 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return found.withColumn("gap", gap.scalar()).drop("w")
 
 
+def reachable(cells: DataFrame, target: DataFrame, dimension: str, goal: float) -> DataFrame:
+    """``(dimension, goal)``: tokens by the shares of ``target``, at most those there are, ``goal`` in all."""
+    base = materialise(
+        cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("has")).join(target, dimension).where("share > 0"))
+    scale, full = 0.0, -1
+    while True:  # each round takes more values in full
+        row = base.agg(
+            F.sum(F.when(F.col("share") * scale >= F.col("has"), F.col("has"))).alias("taken"),
+            F.sum(F.when(F.col("share") * scale < F.col("has"), F.col("share"))).alias("open"),
+            F.count(F.when(F.col("share") * scale >= F.col("has"), 1)).alias("n")).first()
+        if row["n"] == full or not row["open"]:
+            break
+        full, scale = row["n"], max(scale, (goal - (row["taken"] or 0.0)) / row["open"])
+    return materialise(base.select(dimension, F.least(F.col("has"), F.col("share") * scale).alias("goal")))
+
+
+def margins(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """``(dimension, value, goal, reached)`` in tokens, of cells with ``tokens`` and ``probability``."""
+    parts = [
+        cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("reached")).join(goals[d], d)
+        .select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "goal", "reached") for d in DIMENSIONS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def bounded(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP,
+            rounds: int = MAX_ROUNDS) -> tuple[DataFrame, dict[str, DataFrame], float]:
+    """``(source, lang, topic, tokens, probability)``, the goals in tokens and the largest relative distance to one."""
+    some = materialise(cells.where("tokens > 0"))
+    goal = keep * (some.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {d: reachable(some, targets[d], d, goal) for d in DIMENSIONS}
+    now = some.withColumn("raw", F.lit(float(keep)))
+    chance = F.least(F.col("raw"), F.lit(1.0)).alias("probability")
+    gap = float("inf")
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            reached = now.groupBy(d).agg(F.sum(F.col("tokens") * chance).alias("t"))
+            ratio = reached.join(goals[d], d).where("t > 0").select(d, (F.col("goal") / F.col("t")).alias("ratio"))
+            now = materialise(now.join(ratio, d, "left").select(
+                *DIMENSIONS, "tokens", (F.col("raw") * F.coalesce("ratio", F.lit(0.0))).alias("raw")))
+        off = margins(now.select(*DIMENSIONS, "tokens", chance), goals)
+        gap = off.agg(F.max(F.abs(F.col("reached") / F.col("goal") - 1))).first()[0] or 0.0
+        if gap <= TOLERANCE:
+            break
+    else:
+        warnings.warn(f"the mixture misses a target by {gap:.1%} after {rounds} rounds", stacklevel=2)
+    found = now.select(*DIMENSIONS, "tokens", chance)
+    return found.union(cells.where("tokens <= 0").select(*DIMENSIONS, "tokens", F.lit(0.0))), goals, gap
+
+
 def calibrated(docs: DataFrame, cells: DataFrame, key: str = "doc_id", text: str = "text",
                topic: Column | None = None) -> DataFrame:
-    """``docs`` with ``topic``, ``weight``, ``probability`` and ``sampled``; ``cells`` come from ``rake``."""
+    """``docs`` with ``topic``, ``weight``, ``probability`` and ``sampled``; ``cells`` come from ``rake`` or ``bounded``."""
     own = [c for c in docs.columns if c not in ("topic", "weight", "probability", "sampled")]
     rows = docs.select(
         *own, (topic_of(F.col(text)) if topic is None else topic).alias("topic"),
         _value("source").alias("_source"), _value("lang").alias("_lang"))
-    top = cells.agg(F.max("weight").alias("m")).scalar()
+    if "probability" in cells.columns:  # bounded: there is no largest weight to divide by
+        cells, top = cells.withColumnRenamed("probability", "weight"), F.lit(1.0)
+    else:
+        top = cells.agg(F.max("weight").alias("m")).scalar()
     known = cells.select(
         F.col("source").alias("_source"), F.col("lang").alias("_lang"), "topic", "weight").withColumn("_top", top)
     met = rows.join(known, ["_source", "_lang", "topic"], "left")
@@ -118,15 +182,21 @@ def calibrated(docs: DataFrame, cells: DataFrame, key: str = "doc_id", text: str
 
 
 def mix(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = ROUNDS, key: str = "doc_id",
-        text: str = "text", topic: Column | None = None) -> DataFrame:
-    """``calibrated`` towards tempered shares of the given documents themselves."""
+        text: str = "text", topic: Column | None = None, keep: float | None = None) -> DataFrame:
+    """``calibrated`` towards tempered shares of the given documents themselves.
+
+    With ``keep`` that share of the tokens is drawn and ``rounds`` is not used; ``weight`` is the probability then.
+    """
     powers = powers or TEMPER
     cells = materialise(cells_of(docs, text, topic))
-    return calibrated(docs, rake(cells, {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}, rounds), key, text, topic)
+    targets = {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}
+    if keep is not None:
+        return calibrated(docs, bounded(cells, targets, keep)[0], key, text, topic)
+    return calibrated(docs, rake(cells, targets, rounds), key, text, topic)
 
 
 def drawn_rows(docs: DataFrame, powers: dict[str, float] | None = None, rounds: int = ROUNDS, key: str = "doc_id",
-               text: str = "text") -> DataFrame:
+               text: str = "text", keep: float | None = None) -> DataFrame:
     """The rows of ``docs`` that ``mix`` draws, all columns as they are, also those named like its results."""
     used = docs.select(F.struct(*docs.columns).alias("_row"), key, text, "source", "lang")
-    return mix(used, powers, rounds, key, text).where("sampled").select("_row.*")
+    return mix(used, powers, rounds, key, text, keep=keep).where("sampled").select("_row.*")
