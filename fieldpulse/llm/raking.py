@@ -83,7 +83,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """``(source, lang, topic, tokens, weight, gap)``; ``targets``: ``(dimension, share)`` per dimension.
 
     Shares need not add up to 1.  ``gap`` is the largest relative distance between a weighted
-    source total and its target after the last round: near 0 when the targets can be met together.
+    total and its target after the last round: near 0 when the targets can be met together.  A warning tells
+    a gap over ``TOLERANCE``.
     """
     scaled = {}
     for d in DIMENSIONS:
@@ -107,9 +108,13 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     found = materialise(weighted(list(DIMENSIONS)).select(
         *DIMENSIONS, "tokens", "w",
         F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0).alias("weight")))
-    gap = found.groupBy("source").agg(F.sum("w").alias("t")).join(scaled["source"], "source").agg(
-        F.max(F.abs(F.col("t") / F.col("share") - 1)).alias("gap"))
-    return found.withColumn("gap", gap.scalar()).drop("w")
+    parts = [
+        found.groupBy(d).agg(F.sum("w").alias("t")).join(scaled[d], d).select((F.abs(F.col("t") / F.col("share") - 1)).alias("off"))
+        for d in DIMENSIONS]
+    gap = parts[0].union(parts[1]).union(parts[2]).agg(F.max("off").alias("gap")).first()["gap"]
+    if gap is not None and gap > TOLERANCE:
+        warnings.warn(f"the weights miss a target by {gap:.1%} after {rounds} rounds", stacklevel=2)
+    return found.withColumn("gap", F.lit(gap).cast("double")).drop("w")
 
 
 def reachable(cells: DataFrame, target: DataFrame, dimension: str, goal: float) -> DataFrame:

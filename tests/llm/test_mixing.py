@@ -53,3 +53,6 @@ def test_targets_that_cannot_be_met_are_told(spark):
     with pytest.warns(UserWarning, match="misses a target"):
         _, _, gap = raking.bounded(cells, targets, rounds=4)
     assert gap > raking.TOLERANCE
+    with pytest.warns(UserWarning, match="weights miss a target"):
+        raked = raking.rake(cells, targets)
+    assert raked.first()["gap"] > raking.TOLERANCE
