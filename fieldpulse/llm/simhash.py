@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .components import components
+from .near import copy_of, first_rows
 
 SHINGLE = 3
 SEED = 42
@@ -180,6 +181,15 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return at_home.join(sent, "anchor").where((F.col("a") < F.col("b")) & (differing <= MAX_BITS)).select("a", "b")
 
 
+def _grouped(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, copy, fp, root)`` of every row; ``copy`` is a hash of the text."""
+    hashed = docs.select(F.struct(F.col(key).alias("key"), copy_of(F.col(text)).alias("copy")).alias("row"), F.col(text).alias("text"))
+    own = materialise(fingerprints(hashed, "row", "text").select("row.key", "row.copy", "fp"))
+    links = components(near_links(own.select("fp").distinct()))
+    return own.join(links, own["fp"] == links["node"], "left").select(
+        "key", "copy", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, fp, component_id)``: the smallest key that can be reached over links."""
     own = materialise(fingerprints(docs, key, text))
@@ -193,15 +203,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest key.
+    """One row of each group: that of the smallest key, then text hash.
 
-    Of rows that repeat a key one stays; rows without a key all stay.
+    Rows of one key with different texts are judged one by one; of rows that repeat key and text one stays;
+    rows without a key all stay.
     """
-    found = materialise(near_duplicates(docs, key, text))
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    left = docs.join(gone, key, "left_anti")
-    repeated = found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    if repeated.isEmpty():  # the usual case: the rest would shuffle all texts once more
-        return left
-    single = left.join(repeated, key, "left_anti")
-    return single.union(left.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return first_rows(docs, materialise(_grouped(docs, key, text)), key, text)

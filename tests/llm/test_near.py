@@ -69,9 +69,10 @@ def test_rows_of_one_key_are_judged_one_by_one(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     rows = [(1, a, "en"), (2, a, "en"), (2, b, "en"), (3, b, "de"), (3, b, "de"), (None, a, "en"), (4, None, "en"), (4, "x", "en"),
             (5, "x", "en"), (5, "y", "en"), (5, "y", "en")]
-    kept = near.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [
-        (1, a, "en"), (2, b, "en"), (None, a, "en"), (4, None, "en"), (4, "x", "en"), (5, "y", "en")]))
+    for keep in (near.keep_first, simhash.keep_first):
+        kept = keep(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [
+            (1, a, "en"), (2, b, "en"), (None, a, "en"), (4, None, "en"), (4, "x", "en"), (5, "y", "en")]))
 
 
 def test_marks_lose_no_row(spark):
