@@ -77,7 +77,7 @@ def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, scan
 
 
 class Model:
-    """Weights of known features, found through a table of slots by the low bits of the hash."""
+    """Weights of known features, found by search; a table of slots by the low bits of the hash sorts out most others."""
 
     SLOT_BITS = 20
 
@@ -87,10 +87,10 @@ class Model:
         self._index()
 
     def _index(self) -> None:
-        self.slots = np.full(1 << self.SLOT_BITS, -1, np.int32)
-        low = (self.features & np.uint64((1 << self.SLOT_BITS) - 1)).astype(np.int64)
-        # of features with one slot the heaviest stays
-        self.slots[low[::-1]] = np.arange(len(low), dtype=np.int32)[::-1]
+        self.slots = np.zeros(1 << self.SLOT_BITS, bool)
+        self.slots[(self.features & np.uint64((1 << self.SLOT_BITS) - 1)).astype(np.int64)] = True
+        self.order = np.argsort(self.features, kind="stable")
+        self.sorted = self.features[self.order]
 
     def __getstate__(self):
         return {"features": self.features, "weights": self.weights, "bias": self.bias}
@@ -101,10 +101,13 @@ class Model:
 
     def find(self, feats: np.ndarray) -> np.ndarray:
         """Number of each feature, -1 for unknown ones."""
-        at = self.slots[(feats & np.uint64((1 << self.SLOT_BITS) - 1)).astype(np.int64)]
-        if not len(self.features):
-            return at
-        return np.where((at >= 0) & (self.features[at] == feats), at, -1)
+        out = np.full(len(feats), -1, np.int64)
+        may = np.flatnonzero(self.slots[(feats & np.uint64((1 << self.SLOT_BITS) - 1)).astype(np.int64)])
+        if not len(may):
+            return out
+        at = np.minimum(np.searchsorted(self.sorted, feats[may]), len(self.sorted) - 1)
+        out[may] = np.where(self.sorted[at] == feats[may], self.order[at], -1)
+        return out
 
     def sentence_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, scan.Words]:
         """``(score, text, sentence of each word, words)``."""
