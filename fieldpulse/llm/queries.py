@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, imatch, langid, pii, raking, simhash, substrings, toxicity, url_filter
+from . import (
+    decontaminate, extract, fim, hilbert, imatch, langid, pii, raking, simhash, substrings, toxicity, url_filter, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,3 +230,63 @@ FROM docs d LEFT JOIN found f ON f.source = coalesce(d.source, '') AND f.lang =
 
 
 ORACLE["op9_mixing"] = _raking_sql()
+
+
+# -- 11 embedding whitening ------------------------------------------------------------------------
+
+@register
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every valid embedding on the first principal components of the distinct ones, with unit variance."""
+    model, vectors = whitening.fit(whitening.quantised(table(spark, folder, "embeddings")))
+    rows = whitening.by_component(whitening.whiten(vectors, model), model)
+    return rows.select(
+        F.col("key").alias("vec_id"), "component", F.lit(model.n).cast("bigint").alias("n"),
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained",
+        F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+# -- 12 HTML extraction ----------------------------------------------------------------------------
+
+@register
+def op12_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = extract.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+# -- 13 fill-in-the-middle -------------------------------------------------------------------------
+
+@register
+def op13_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """Cuts and digests of every document's sample, and of the text that its output gives back."""
+    found = fim.transform(table(spark, folder, "documents"))
+    back = fim.restore(F.col("output"), F.col("form"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def _fim_sql() -> str:
+    draw = lambda i: f"('0x' || substr(sha256('1:' || key), {8 * i + 1}, 8))::BIGINT"
+    marked = " OR ".join(f"contains(text, '{s}')" for s in fim.SENTINELS)
+    p, s, m = fim.SENTINELS
+    return f"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         {draw(0)} AS h1, {draw(1)} AS h2, {draw(2)} AS h3, {draw(3)} AS h4
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS key, * FROM documents)),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR {marked} OR h3 % 100 >= {fim.CUT_OF_100} THEN 'plain'
+              WHEN h4 % 100 < {fim.SPM_OF_100} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (SELECT *, left(text, a) AS head, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS tail FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || head || '{s}' || tail || '{m}' || mid
+              ELSE '{s}' || tail || '{p}' || head || '{m}' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts"""
+
+
+ORACLE["op13_fim"] = _fim_sql()
