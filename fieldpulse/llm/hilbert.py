@@ -105,4 +105,4 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", te
     first = F.expr(f"(shard * _n + {shards - 1}) div {shards}")
     return placed.select(
         key, *keep, "size", "text_crc32", "curve", F.lit(LAW).alias("law"), "shard",
-        (rank - first).cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        (rank - first).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

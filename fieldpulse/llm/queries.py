@@ -178,7 +178,7 @@ checked AS (
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY curve, doc_id, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM checked)
 SELECT doc_id, size, text_crc32, curve, 'rows' AS law, (r * 16 // n)::INT AS shard,
-       (r - ((r * 16 // n) * n + 15) // 16)::INT AS slot, NULL::INT AS grown_shard
+       (r - ((r * 16 // n) * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard
 FROM ranked"""
 
 
