@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_near import expected
 
 import corpus_pipeline
 from fieldpulse.llm import (
