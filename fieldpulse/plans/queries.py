@@ -446,11 +446,17 @@ def community_invariants(spark, folder):
         return F.round(F.coalesce(value.scalar(), F.lit(0.0)), 9)
 
     found = quality(placed, "community_id")
+    numbers = nodes.select("author_id", F.xxhash64("author_id").alias("id"))
+    ends = graph.both_directions(edges).select(
+        F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    rest = communities.further_gain(placed.join(numbers, "author_id").select(
+        F.lit(0).alias("graph"), "id", F.col("community_id").cast("long").alias("comm")), ends)
+    gain = F.coalesce(rest.select(F.max("gain")).scalar(), F.lit(0.0))
     labels = graph.label_propagation(nodes, edges)
     return placed.agg(F.countDistinct("author_id").alias("authors")).select(
         "authors", (rising == 0).alias("by_size"), (n_parts == n_sizes).alias("connected"),
         (found >= quality(nodes, "author_id")).alias("above_single"),
-        (found >= quality(labels, "label")).alias("above_labels"))
+        (found >= quality(labels, "label")).alias("above_labels"), (gain < 2 * communities.LEAST_GAIN).alias("settled"))
 
 
 @register

@@ -153,3 +153,28 @@ def test_a_third_of_the_rows_on_one_work_author_and_topic(spark):
         want |= {(t, a, years[w]) for t in topics_of[w]}
     got = {(r.topic_id, r.author_id, r.year) for r in emerging.topic_author_year(tagged, au).collect()}
     assert got == want
+
+
+def test_kept_weights_equal_recounted_ones(spark, planted):
+    nodes, edges = planted
+    ids, arcs = communities._indexed(
+        nodes.select(F.lit(0).alias("graph"), F.col("author_id").alias("node")),
+        graph.both_directions(edges).select(F.lit(0).alias("graph"), "src", "dst", "weight"))
+    state = communities._start(ids.select("id", "graph", F.lit(0.0).alias("own")), arcs)
+    mass = state.groupBy("graph").agg(F.sum("degree").alias("mass"))
+    weights = communities.around(arcs, state)
+    for turn in range(3):
+        state = communities._moved(state, weights, mass, [0], turn)[0]
+        weights = communities._reweighed(weights, arcs, state)
+        assert Counter(map(tuple, weights.collect())) == Counter(map(tuple, communities.around(arcs, state).collect()))
+
+
+def test_communities_come_to_rest(spark, planted):
+    nodes, edges = planted
+    found = communities.detect_communities(nodes, edges)
+    members = found.select(F.lit(0).alias("graph"), F.col("author_id").cast("long").alias("id"),
+                           F.col("community_id").cast("long").alias("comm"))
+    arcs = graph.both_directions(edges).select(
+        F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
+    for turn in range(2):
+        assert communities.further_gain(members, arcs, turn).first()["gain"] < communities.LEAST_GAIN
