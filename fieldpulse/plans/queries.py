@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import TITLE_STOP_WORDS, reconstruct_abstract
 from ..functions.stats import ratio
 from ..operators import (
-    cluster, communities, emerging, evaluate, evolution, graph, ingest, neighbours, text, topics, transitions, views,
+    cluster, communities, emerging, evaluate, evolution, graph, ingest, layout, neighbours, text, topics, transitions, views,
 )
 from ..session import materialise, shared_folder
 from ..sources import bindings, sinks
@@ -581,6 +581,24 @@ def projection_invariants(spark, folder):
         (F.var_pop(x) >= F.var_pop(y)).alias("ordered"))
 
 
+@register
+def neighbour_layout(spark, folder):
+    return rounded(layout.layout_2d(_vectors(spark, folder)))
+
+
+@register
+def layout_invariants(spark, folder):
+    """Centred positions in which more neighbours are near than in those of the main components."""
+    vectors = _vectors(spark, folder)
+    near = materialise(neighbours.knn_graph(vectors))
+    found = materialise(layout.layout_2d(vectors, neighbours=near))
+    plain = layout.neighbour_agreement(cluster.project_2d(vectors, "vec_id"), near).scalar()
+    gained = layout.neighbour_agreement(found, near).scalar() > plain
+    return found.agg(
+        F.count("*").alias("vectors"), F.countDistinct("vec_id").alias("placed"),
+        ((F.abs(F.avg("proj_x")) < 1e-6) & (F.abs(F.avg("proj_y")) < 1e-6)).alias("centred")).withColumn("closer", gained)
+
+
 @register
 def embedding_invariants(spark, folder):
     """Dimensions of every embedding, and whether it has unit length or is zero."""
