@@ -18,10 +18,11 @@ from ..functions.stats import ratio
 from ..operators import (
     cluster, communities, emerging, evaluate, evolution, graph, ingest, layout, neighbours, text, topics, transitions, views,
 )
+from ..schemas import empty
 from ..session import materialise, shared_folder
 from ..sources import bindings, sinks
 from ..sources.bindings import commerce, raw_works, texts
-from ..sources.works import limit_works, load_table, project_fields, select_works
+from ..sources.works import limit_works, load_table, project_fields, read_works, select_works
 from ..streaming.ingest import ingest_incremental, read_ingested
 from ..streaming.live import live_topic_counts, run_available
 
@@ -36,6 +37,7 @@ EVIDENCE_YEARS = (1996, 1999)
 EVIDENCE_TITLE = "urgent"
 STOP_WORDS = list(TITLE_STOP_WORDS)
 STORED_YEARS = (1995, 1997)
+RECORD_LIMIT = 700
 SELECTION = {"subfield": "1", "years": (1996, 1999), "work_type": "article", "min_citations": 50}
 
 
@@ -209,6 +211,31 @@ def selected_works(spark, folder):
         F.size("topics").alias("n_topics"), F.size("authorships").alias("n_authorships"))
 
 
+@register
+def read_back_works(spark, folder):
+    """Records written as JSON and read with the declared schema."""
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    raw_works(spark, folder).drop("ingest_seq").write.json(path)
+    return read_works(spark, path).select(
+        "id", "display_name", "publication_year", "cited_by_count", "type",
+        F.size("topics").alias("n_topics"), F.size("authorships").alias("n_authorships"))
+
+
+@register
+def limited_works(spark, folder):
+    raw = raw_works(spark, folder)
+    return limit_works(raw, RECORD_LIMIT).agg(F.count("*").alias("records")).withColumn(
+        "every_record", limit_works(raw, None).agg(F.count("*")).scalar())
+
+
+@register
+def stats_by_schema(spark, folder):
+    """Stored statistics fit the declared empty table: same names, types and order."""
+    stats = _stats(spark, folder)
+    none = empty(spark, "topic_year_stats")
+    return rounded(none.unionByName(stats.select(*none.columns)))
+
+
 @register
 def seed_topic_year_counts(spark, folder):
     return ingest.seed_topic_year_counts(raw_works(spark, folder), **SELECTION)
@@ -491,13 +518,13 @@ def document_terms(spark, folder):
 @register
 def vocabulary(spark, folder):
     papers = _papers_text(spark, folder)
-    return text.vocabulary(papers, text.document_terms(papers, STOP_WORDS))
+    return text.vocabulary(papers, materialise(text.document_terms(papers, STOP_WORDS)))
 
 
 @register
 def tfidf(spark, folder):
     papers = _papers_text(spark, folder)
-    terms = text.document_terms(papers, STOP_WORDS)
+    terms = materialise(text.document_terms(papers, STOP_WORDS))  # texts are cut into words once
     return rounded(text.tfidf(papers, terms, text.vocabulary(papers, terms)))
 
 
@@ -625,6 +652,14 @@ def lda_topic_invariants(spark, folder):
         "topic_id", "words", "known", (perplexity > 1).alias("above_one"))
 
 
+@register
+def lda_summary_invariants(spark, folder):
+    """Topics in order, how many there are, the documents with a topic, and whether labels are three words."""
+    fit = _lda(spark, folder)
+    return topics.lda_summary(topics.topic_words(fit), topics.dominant_topic(fit)).select(
+        "topic_id", "topics", "papers_assigned", (F.size(F.split("label", " / ")) == 3).alias("three_words"))
+
+
 @register
 def lda_document_invariants(spark, folder):
     """Whether a document has a dominant topic, and whether topic and share lie within their bounds."""
