@@ -10,7 +10,9 @@ Further kinds add spans and never remove base ones:
 
 * ``iban``: country, check digits and 11 to 30 characters that pass mod 97;
 * ``phone_local``: a number in the form ``(ddd) ddd-dddd`` or ``ddd-ddd-dddd``;
-* ``national_id``: ``ddd-dd-dddd`` outside the ranges that are never issued.
+* ``national_id``: ``ddd-dd-dddd`` outside the ranges that are never issued;
+* ``secret``: the value that a name like ``token`` or ``api_key`` is set to, of 16 or more characters whose
+  entropy is at least ``ENTROPY`` bits each; strings with a published key prefix; the header of a private key.
 
 Score of a span: the start value of its kind, raised by a passed checksum and by a word that
 names such data within ``NEAR`` characters before it, lowered by a word that speaks for other
@@ -28,14 +30,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KINDS = ("email", "ip", "card", "phone", "iban", "phone_local", "national_id")
+KINDS = ("email", "ip", "card", "phone", "iban", "phone_local", "national_id", "secret")
 BASE_KINDS = KINDS[:4]
 NEAR = 40
 KEEP = 0.5
+ENTROPY = 2.5
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_BACKWARDS = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -45,9 +49,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SET = re.compile(
+    r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)[\"']?"
+    r"(?:\s{0,9}[:=]\s{0,9}|\s)[\"']?([A-Za-z0-9+/_.~-]{16,}=*)")
+_PREFIXED = re.compile(
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{16,}"
+    r"|AIza[A-Za-z0-9_-]{35})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 _DIGITS = re.compile(r"[0-9]")
 
-START = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "phone_local": 0.5, "national_id": 0.4}
+START = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "phone_local": 0.5, "national_id": 0.4, "secret": 0.5}
 CONTEXT = {
     "email": "mail email contact write",
     "ip": "ip address host server login",
@@ -56,6 +66,7 @@ CONTEXT = {
     "iban": "iban bank account transfer",
     "phone_local": "phone call tel mobile fax reach",
     "national_id": "ssn social security national identity id",
+    "secret": "token secret password key login auth",
 }
 AGAINST = frozenset("order version invoice isbn issn sku model item ticket page lines".split())
 _WORD = re.compile(r"[a-z]+")
@@ -87,6 +98,22 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def entropy(value: str) -> float:
+    """Bits per character by the frequencies of the characters."""
+    counts = [value.count(c) / len(value) for c in set(value)]
+    return -sum(c * log2(c) for c in counts)
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values set to a telling name, and strings with the prefix of a key; the first of overlapping ones."""
+    found = [m.span(1) for m in _SET.finditer(text) if _DIGITS.search(m.group(1)) and entropy(m.group(1)) >= ENTROPY]
+    done = -1
+    for start, end in sorted(found + [m.span() for m in _PREFIXED.finditer(text)]):
+        if start >= done:
+            yield start, end
+            done = end
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """The pattern ``local@label.label...``; the local part reaches back to the previous match at most."""
     done = seen = 0
@@ -104,6 +131,8 @@ def _matches(text: str) -> Iterator[tuple[str, int, int, bool]]:
     if "@" in text:
         for s, e in _emails(text):
             yield "email", s, e, False
+    for s, e in _secrets(text):
+        yield "secret", s, e, True
     if not _DIGITS.search(text):
         return
     for m in _IP.finditer(text):

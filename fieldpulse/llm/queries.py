@@ -71,7 +71,8 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     return found.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in pii.BASE_KINDS],
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        count("secret").alias("n_secret"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 # -- 4 SimHash near-duplicates ---------------------------------------------------------------------
