@@ -27,6 +27,8 @@ from ..functions.ranking import numbered
 DIMS, BITS = 3, 5
 SHARDS = 16
 LAW = "rows"
+#: Most rows of one written file.
+ROWS_PER_FILE = 100_000
 
 
 @lru_cache(maxsize=4)
@@ -106,3 +108,20 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", te
     return placed.select(
         key, *keep, "size", "text_crc32", "curve", F.lit(LAW).alias("law"), "shard",
         (rank - first).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, rows_per_file: int = ROWS_PER_FILE, **columns: str) -> None:
+    """All columns of ``docs`` as Parquet under ``path``: a folder per shard, rows in the order of their slots.
+
+    A shard is cut into files along the curve, and each file holds one run of slots, so a reader that filters on
+    language or source skips files by the extents and dictionaries they hold.  Ranges of slots are dealt over
+    tasks: no task writes a whole shard of a large corpus.  Columns of ``docs`` named like a result are kept
+    in the files; ``shard`` and ``slot`` are those of the assignment.
+    """
+    taken = ("size", "text_crc32", "curve", "law", "shard", "slot", "grown_shard")
+    key, text = columns.get("key", "doc_id"), columns.get("text", "text")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    row = docs.select(key, text, *[columns.get(c, c) for c in ("lang", "source")], F.struct(*[docs[c] for c in kept]).alias("whole_row"))
+    placed = assign_shards(row, shards, keep=("whole_row",), **columns).select("whole_row.*", *taken[4:6])
+    ranged = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ranged.write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
