@@ -50,11 +50,14 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-
 _LOCAL_PHONE = re.compile(r"(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SET = re.compile(
-    r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)[\"']?"
+    r"(?ai)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)[\"']?"
     r"(?:\s{0,9}[:=]\s{0,9}|\s)[\"']?([A-Za-z0-9+/_.~-]{16,}=*)")
 _PREFIXED = re.compile(
     r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{16,}"
     r"|AIza[A-Za-z0-9_-]{35})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+#: A text without any of these holds no secret.
+_TELLING = ("token", "secret", "passw", "pwd", "key", "credential", "bearer")
+_KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "sk_", "xox", "AIza", "-----BEGIN ")
 _DIGITS = re.compile(r"[0-9]")
 
 START = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "phone_local": 0.5, "national_id": 0.4, "secret": 0.5}
@@ -106,9 +109,13 @@ def entropy(value: str) -> float:
 
 def _secrets(text: str) -> Iterator[tuple[int, int]]:
     """Values set to a telling name, and strings with the prefix of a key; the first of overlapping ones."""
-    found = [m.span(1) for m in _SET.finditer(text) if _DIGITS.search(m.group(1)) and entropy(m.group(1)) >= ENTROPY]
+    small, found = text.lower(), []
+    if any(name in small for name in _TELLING):
+        found = [m.span(1) for m in _SET.finditer(text) if _DIGITS.search(m.group(1)) and entropy(m.group(1)) >= ENTROPY]
+    if any(mark in text for mark in _KEY_STARTS):
+        found += [m.span() for m in _PREFIXED.finditer(text)]
     done = -1
-    for start, end in sorted(found + [m.span() for m in _PREFIXED.finditer(text)]):
+    for start, end in sorted(found):
         if start >= done:
             yield start, end
             done = end
