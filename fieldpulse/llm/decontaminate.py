@@ -219,6 +219,15 @@ def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of an item."""
     _, spans, _ = benchmark_hits(docs, items, key, text, item, item_text)
-    dirty = spans.select(F.col(key).alias("_key"), F.col("copy").alias("_copy")).distinct()
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.col(text)) == F.col("_copy"))
+    names = [fresh(docs, name) for name in ("key", "copy")]
+    dirty = spans.select(F.col(key).alias(names[0]), F.col("copy").alias(names[1])).distinct()
+    same = F.col(key).eqNullSafe(F.col(names[0])) & (F.xxhash64(F.col(text)) == F.col(names[1]))
     return docs.join(dirty, same, "left_anti")
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name

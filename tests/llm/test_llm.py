@@ -391,3 +391,17 @@ def test_scan_matches_python():
         assert own == brute.split_words(t)
     same = dict(zip(words.hashes().tolist(), (data[a:b] for a, b in zip(words.start, words.end))))
     assert len(same) == len(set(same.values()))
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["copy", "key", "_copy", "_key", "node", "row", "hit", "root", "word", "n", "start", "spans", "model", "p", "weight"]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in names)
+    rows = [(d, t, la, so, 1, *range(len(names))) for d, t, la, so in ROWS]
+    docs = spark.createDataFrame(rows, kinds)
+    items = spark.createDataFrame([("i1", PASSAGE)], "item_id string, text string")
+    kept = decontaminate.clean_rows(docs, items)
+    assert kept.columns == docs.columns
+    clean = [r for r in rows if PASSAGE not in (r[1] or "").lower()]
+    assert bag(map(tuple, kept.collect())) == bag(clean)
+    assert decontaminate.clean_rows(docs.limit(0), items).count() == 0
+    assert simhash.keep_first(docs).columns == docs.columns
