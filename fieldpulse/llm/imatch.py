@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ SUBSETS = 64
 MAX_SCALE = 30
 #: Counters that travel in one packed row.
 SLOTS = 1 << 14
+#: Tasks whose counters are summed together, before the sums are.
+FAN_IN = 1 << 10
 
 _SEEDS = scan.mix(np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -55,8 +58,12 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - 20)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """Counters of documents by hash of the term (``BUCKETS`` of them), and the number of documents."""
+def document_frequencies(docs: DataFrame, text: str = "text", fan_in: int = FAN_IN) -> tuple[np.ndarray, int]:
+    """Counters of documents by hash of the term (``BUCKETS`` of them), and the number of documents.
+
+    Every task sends one packed row per slot. They are summed in two steps, ``fan_in`` tasks at a time
+    first, so that no group holds a row of every task.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs_seen = np.zeros(BUCKETS, np.int64), 0
@@ -70,17 +77,20 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
                 counts += np.bincount(pairs & (BUCKETS - 1), minlength=BUCKETS)
         cells = [counts[i: i + SLOTS].astype("<i8") for i in range(0, BUCKETS, SLOTS)]
         if docs_seen:
+            part = TaskContext.get().partitionId() // fan_in
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(cells)), pa.int32()), pa.array([_pack(c) for c in cells], pa.binary()),
-                 pa.array([docs_seen] * len(cells), pa.int64())], ["slot", "counts", "docs"])
+                [pa.array([part] * len(cells), pa.int32()), pa.array(range(len(cells)), pa.int32()),
+                 pa.array([_pack(c) for c in cells], pa.binary()), pa.array([docs_seen] * len(cells), pa.int64())],
+                ["part", "slot", "counts", "docs"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(_unpack(c.as_py()) for c in table.column("counts"))
-        return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([_pack(total)], pa.binary()),
+        return pa.table({"part": table.column("part")[:1], "slot": table.column("slot")[:1], "counts": pa.array([_pack(total)], pa.binary()),
                          "docs": pa.array([pc.sum(table.column("docs")).as_py()], pa.int64())})
 
-    schema = "slot int, counts binary, docs bigint"
-    rows = docs.select(text).mapInArrow(count, schema).groupBy("slot").applyInArrow(add, schema).collect()
+    schema = "part int, slot int, counts binary, docs bigint"
+    few = docs.select(text).mapInArrow(count, schema).groupBy("part", "slot").applyInArrow(add, schema)
+    rows = few.groupBy("slot").applyInArrow(add, schema).collect()
     counts = np.zeros(BUCKETS, np.int64)
     for r in rows:  # bounded: BUCKETS counters
         counts[r["slot"] * SLOTS: (r["slot"] + 1) * SLOTS] = _unpack(r["counts"])
@@ -187,7 +197,7 @@ def _in_order(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     first row of the next one that holds any (``head``), the last by the very first row.
 
     Borders are approximate percentiles of the key, one per shuffle partition; they only balance
-    the work.
+    the work. Rows without a key come first, by the hash of their text, in as many slices of equal width.
     """
     spark = docs.sparkSession
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -195,7 +205,9 @@ def _in_order(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     cuts = rows.agg(F.percentile_approx("id", [i / slices for i in range(1, slices)] or [0.5], 10_000)).first()[0]
     cuts = sorted(set(cuts or []))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))) if cuts else F.lit(0)
-    rows = rows.withColumn("slice", F.when(F.col("id").isNull(), -1).otherwise(place))
+    share = F.xxhash64("text").cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+    nameless = F.least(F.floor(share * slices), F.lit(slices - 1)).cast("int") - slices  # below all others
+    rows = rows.withColumn("slice", F.when(F.col("id").isNull(), nameless).otherwise(place))
     least = F.min(F.struct("id", F.xxhash64("text").alias("x")))
     firsts = rows.groupBy("slice").agg(least.alias("first")).orderBy("slice").collect()  # one row per slice
     heads = [(now["slice"], *after["first"]) for now, after in zip(firsts, firsts[1:] + firsts[:1])]
@@ -220,7 +232,8 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lexicon = Lexicon(*document_frequencies(docs, text), band)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(lexicon.inside))
     rows, slices = _in_order(docs, key, text)
-    ordered = rows.repartition(slices, "slice").sortWithinPartitions("slice", "head", "id", F.xxhash64("text"))
+    own_task = F.pmod(F.col("slice"), F.lit(slices))  # slice i and, of rows without a key, slice i - slices
+    ordered = rows.repartitionById(slices, own_task.cast("int")).sortWithinPartitions("slice", "head", "id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = restored(shared.value)

@@ -7,8 +7,8 @@ trained by stochastic gradient descent in numpy.  A temperature, fitted on docum
 did not see, makes the probabilities honest; below ``reject`` (the lowest score at which those
 documents were right in ``PRECISION`` of the cases) a prediction is marked as not accepted.
 
-Training takes at most ``MAX_ROWS`` documents, chosen by a hash of the id, with at most ``MAX_BYTES`` of text in
-all, and runs in one task.  An id of many rows gives one text.  Prediction reads every text in full; both
+Training takes at most ``MAX_ROWS`` documents and ``PER_LANG`` of every language, chosen by a hash of the id, with at
+most ``MAX_BYTES`` of text in all, and runs in one task.  An id of many rows gives one text.  Prediction reads every text in full; both
 layers fold into one table of languages per bucket.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and not accepted; rows with
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -33,6 +33,8 @@ from . import scan
 from .sample import MAX_BYTES, within
 
 MAX_ROWS = 6_000
+#: So many documents of every language are in the sample, however rare it is.
+PER_LANG = 300
 BUCKETS = 1 << 16
 SIZE = 16
 LENGTHS = (2, 3, 4)
@@ -149,20 +151,27 @@ def fit(texts: pa.Array, langs: list[str], held: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, use: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """Fit on a bounded sample; ``use`` is a condition on the key column."""
+          max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, per_lang: int = PER_LANG) -> Model:
+    """Fit on a bounded sample; ``use`` is a condition on the key column.
+
+    The sample has the first ``max_rows`` ids in the order of a hash, and the first ``per_lang`` of every language, which come
+    first where ``max_bytes`` is short, so a rare language is learned however large the rest is.
+    """
     eligible = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     if use is not None:
         eligible = eligible.where(use)
     order = F.xxhash64(F.col(key).cast("string"))
-    ids = eligible.select(F.col(key), F.col(lang).alias("_lang"), order.alias("_order")).distinct().orderBy(
-        "_order", key, "_lang").limit(max_rows)
+    known = eligible.select(F.col(key), F.col(lang).alias("_lang"), order.alias("_order")).distinct()
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", key))
+    least = known.withColumn("_place", place).where(F.col("_place") <= per_lang).select(key, "_lang", "_order", F.lit(0).alias("_late"))
+    first = known.orderBy("_order", key, "_lang").limit(max_rows).withColumn("_late", F.lit(1))
+    ids = least.union(first).groupBy(key, "_lang", "_order").agg(F.min("_late").alias("_late"))
     rows = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(
         F.broadcast(ids), [key, "_lang"])
     single = materialise(rows.where(F.col("_text").isNotNull()).groupBy(F.col("_order").alias("order")).agg(
-        F.min(F.struct("_lang", "_text")).alias("one")))
-    sample = within(single.select("order", F.col("one._text").alias("text"), F.col("one._lang").alias("lang")),
-                    ["order"], max_bytes)
+        F.min(F.struct("_lang", "_text", "_late")).alias("one")))
+    sample = within(single.select("order", F.col("one._late").alias("late"), F.col("one._text").alias("text"),
+                                  F.col("one._lang").alias("lang")), ["late", "order"], max_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]

@@ -2,7 +2,9 @@
 empty tables and extra columns with clashing names."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -253,6 +255,43 @@ def test_imatch(spark, awkward, nothing):
     assert imatch.likeness("00:00.00", "05:00.00.00") == 0.0
 
 
+@pytest.mark.parametrize("fan_in", [1, 3, 1024])
+def test_counters_hold_every_document(spark, fan_in):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)], k=rng.randrange(0, 30)))
+             for _ in range(200)] + [None, "", "UPPER upper, Upper; other"] + ["the same words"] * 50
+    words = [set(re.findall("[a-z]+", (t or "").lower())) for t in texts]
+    hash_of = {w: int(imatch._terms(pa.array([w]))[0][0]) for w in set().union(*words)}
+    want = Counter(b for own in words for b in {hash_of[w] >> 44 for w in own})
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    counts, n = imatch.document_frequencies(table, fan_in=fan_in)
+    assert n == len(texts) and {i: c for i, c in enumerate(counts.tolist()) if c} == dict(want)
+    assert imatch.document_frequencies(table.limit(0))[1] == 0
+    band = (0.02, 0.09)
+    plain = []
+    for t, own in zip(texts, words):
+        kept = {hash_of[w] for w in own if band[0] * n <= want[hash_of[w] >> 44] <= band[1] * n}
+        if own:
+            plain.append((t, imatch.signatures(np.array(sorted(kept or {hash_of[w] for w in own}), np.uint64))))
+    got = imatch.fingerprints(table, "text", band=band).where(F.length("text") > 0)
+    assert bag(tuple(r) for r in got.collect()) == bag(plain)
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = [(None, f"nameless {i} " * 5) for i in range(60)] + [(i, f"text number {i} " * 9) for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows, slices = imatch._in_order(table, "doc_id", "text")
+    own = rows.where("not head and id is null").groupBy("slice").count().collect()
+    assert slices == 4 and len(own) == 4 and all(-4 <= r["slice"] < 0 for r in own)
+    order = [r.text for r in table.orderBy("doc_id", F.xxhash64("text")).collect()]
+    after = dict(zip(order, order[1:] + order[:1]))
+    want = []
+    for d, t in docs:
+        cut = len(t) // 4
+        want.append((d, brute.sha(t[: len(t) - cut] + after[t][:cut])))
+    assert bag((r.doc_id, r.edited_sha256) for r in imatch.compare_edits(table).collect()) == bag(want)
+
+
 def test_imatch_order_wraps(spark):
     docs = [(i, f"text number {i} " * 9) for i in range(57)]
     got = {r.doc_id: r.edited_sha256 for r in imatch.compare_edits(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
@@ -344,6 +383,10 @@ def test_language(spark, awkward, nothing):
     odd = {r.doc_id: r.lang_pred for r in langid.predict(awkward, model).collect()}
     assert odd[4] == odd[5] == odd[6] == "und" and odd[10] != "und"
     assert langid.predict(nothing, model).count() == 0
+    rare = frame(spark, docs + [(1000 + i, "y el con casa agua arbol", "es", "a") for i in range(3)])
+    assert langid.train(rare, max_rows=20, per_lang=0).langs == ["de", "en", "fr"]
+    few = langid.train(rare, max_rows=20, per_lang=2)
+    assert few.langs == ["de", "en", "es", "fr"]
     blank = langid.train(table.limit(0))
     assert {r.lang_pred for r in langid.predict(awkward, blank).collect()} == {"und"}
 
