@@ -155,15 +155,21 @@ def train(docs: DataFrame, use: Column | None = None, key: str = "doc_id", text:
     """Fit on a bounded sample; ``use`` is a condition on the key column.
 
     The sample has the first ``max_rows`` ids in the order of a hash, and the first ``per_lang`` of every language, which come
-    first where ``max_bytes`` is short, so a rare language is learned however large the rest is.
+    first where ``max_bytes`` is short, so a rare language is learned however large the rest is.  Hashes are
+    even, so these lie below a limit that follows from the rows of the language (missed with a chance under 1e-50);
+    only rows below it are ranked.
     """
     eligible = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     if use is not None:
         eligible = eligible.where(use)
     order = F.xxhash64(F.col(key).cast("string"))
     known = eligible.select(F.col(key), F.col(lang).alias("_lang"), order.alias("_order")).distinct()
+    known = materialise(known)
+    share = F.col("_order").cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("_n"))
+    low = known.join(sizes, "_lang").where(share * F.col("_n") <= 4 * per_lang + 64)
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", key))
-    least = known.withColumn("_place", place).where(F.col("_place") <= per_lang).select(key, "_lang", "_order", F.lit(0).alias("_late"))
+    least = low.withColumn("_place", place).where(F.col("_place") <= per_lang).select(key, "_lang", "_order", F.lit(0).alias("_late"))
     first = known.orderBy("_order", key, "_lang").limit(max_rows).withColumn("_late", F.lit(1))
     ids = least.union(first).groupBy(key, "_lang", "_order").agg(F.min("_late").alias("_late"))
     rows = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(
