@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import top_rows
 from ..session import materialise
 from . import scan
 from .sample import MAX_BYTES, within
@@ -35,6 +36,8 @@ from .sample import MAX_BYTES, within
 MAX_ROWS = 6_000
 #: So many documents of every language are in the sample, however rare it is.
 PER_LANG = 300
+#: Partitions whose first ids of a language are ranked together, before all are.
+FAN_IN = 1 << 10
 BUCKETS = 1 << 16
 SIZE = 16
 LENGTHS = (2, 3, 4)
@@ -155,9 +158,9 @@ def train(docs: DataFrame, use: Column | None = None, key: str = "doc_id", text:
     """Fit on a bounded sample; ``use`` is a condition on the key column.
 
     The sample has the first ``max_rows`` ids in the order of a hash, and the first ``per_lang`` of every language, which come
-    first where ``max_bytes`` is short, so a rare language is learned however large the rest is.  Hashes are
-    even, so these lie below a limit that follows from the rows of the language (missed with a chance under 1e-50);
-    only rows below it are ranked.
+    first where ``max_bytes`` is short, so a rare language is learned however large the rest is.  Both lists are
+    exact, and no task ranks more than the first ids of ``FAN_IN`` others: languages are ranked among neighbouring
+    partitions first.
     """
     eligible = docs.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     if use is not None:
@@ -165,15 +168,14 @@ def train(docs: DataFrame, use: Column | None = None, key: str = "doc_id", text:
     order = F.xxhash64(F.col(key).cast("string"))
     known = eligible.select(F.col(key), F.col(lang).alias("_lang"), order.alias("_order")).distinct()
     known = materialise(known)
-    share = F.col("_order").cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
-    sizes = known.groupBy("_lang").agg(F.count("*").alias("_n"))
-    low = known.join(sizes, "_lang").where(share * F.col("_n") <= 4 * per_lang + 64)
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", key))
-    least = low.withColumn("_place", place).where(F.col("_place") <= per_lang).select(key, "_lang", "_order", F.lit(0).alias("_late"))
-    first = known.orderBy("_order", key, "_lang").limit(max_rows).withColumn("_late", F.lit(1))
-    ids = least.union(first).groupBy(key, "_lang", "_order").agg(F.min("_late").alias("_late"))
-    rows = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(
-        F.broadcast(ids), [key, "_lang"])
+    least = known.withColumn("_part", F.floor(F.spark_partition_id() / FAN_IN))
+    for groups in (["_lang", "_part"], ["_lang"]):
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy("_order", key))
+        least = least.withColumn("_place", place).where(F.col("_place") <= per_lang).drop("_place")
+    least = least.select(key, "_lang", "_order", F.lit(0).alias("_late"))
+    first = top_rows(known, [F.asc("_order"), F.asc(key), F.asc("_lang")], max_rows).withColumn("_late", F.lit(1))
+    ids = materialise(least.union(first).groupBy(key, "_lang", "_order").agg(F.min("_late").alias("_late")))
+    rows = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).alias("_lang")).join(ids, [key, "_lang"])
     single = materialise(rows.where(F.col("_text").isNotNull()).groupBy(F.col("_order").alias("order")).agg(
         F.min(F.struct("_lang", "_text", "_late")).alias("one")))
     sample = within(single.select("order", F.col("one._late").alias("late"), F.col("one._text").alias("text"),
