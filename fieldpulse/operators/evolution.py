@@ -101,6 +101,40 @@ def stats_from_counts(counts: DataFrame, window: int = 3) -> DataFrame:
         "relative_share", "momentum", F.lit(False).alias("is_emerging"))
 
 
+def add_counts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Counts after an append: ``fresh`` are the counts of works that ``stored`` does not hold yet."""
+    both = stored.select("topic_id", "topic_name", "year", "work_count", "citation_sum").unionByName(
+        fresh.select("topic_id", "topic_name", "year", "work_count", "citation_sum"))
+    return both.groupBy("topic_id", "year").agg(
+        F.sum("work_count").cast("int").alias("work_count"), F.sum("citation_sum").alias("citation_sum"),
+    ).join(topic_names(both), "topic_id")
+
+
+def touched_years(stored: DataFrame, fresh: DataFrame, window: int = 3) -> list[int]:
+    """Years whose rows an append changes.
+
+    Share and growth of a year follow from its counts, growth also from the year before, and momentum
+    from ``window`` growths; a topic with a new name changes in all its years.
+    """
+    years = fresh.select(F.explode(F.sequence("year", F.col("year") + window)).alias("year"))
+    renamed = topic_names(fresh).join(topic_names(stored).withColumnRenamed("topic_name", "old"), "topic_id").where(
+        "topic_name > old")
+    again = stored.join(renamed.select("topic_id"), "topic_id", "left_semi").select("year")
+    return sorted(r["year"] for r in years.union(again).distinct().collect())  # a row per year
+
+
+def refreshed_years(stored: DataFrame, fresh: DataFrame, window: int = 3) -> DataFrame:
+    """The rows of all touched years after an append, from the stored table and the counts of new works.
+
+    Only stored years that these rows depend on are counted again; no stored work is read.
+    """
+    years = touched_years(stored, fresh, window)
+    needed = sorted({y - back for y in years for back in range(window + 1)})
+    # names come from all years of a topic, counts from the needed ones
+    counts = add_counts(stored, fresh).where(F.col("year").isin(needed))
+    return stats_from_counts(counts, window).where(F.col("year").isin(years))
+
+
 def updated_rows(stats: DataFrame) -> DataFrame:
     """How many topic-years have a growth other than 0."""
     return stats.agg(F.count_if(F.col("growth_rate") != 0).alias("updated_rows"))

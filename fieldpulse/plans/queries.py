@@ -37,6 +37,7 @@ EVIDENCE_YEARS = (1996, 1999)
 EVIDENCE_TITLE = "urgent"
 STOP_WORDS = list(TITLE_STOP_WORDS)
 STORED_YEARS = (1995, 1997)
+REFRESHED_YEAR = 1996
 RECORD_LIMIT = 700
 SELECTION = {"subfield": "1", "years": (1996, 1999), "work_type": "article", "min_citations": 50}
 
@@ -154,6 +155,22 @@ def stored_stats(spark, folder):
     return rounded(load_table(spark, base, "topic_year_stats", STORED_YEARS))
 
 
+@register
+def refreshed_stats(spark, folder):
+    """The stored table of most works, refreshed by the others: equal to the table of all works."""
+    base = f"{shared_folder(spark)}/refreshed-{uuid.uuid4().hex}"
+    c = commerce(spark, folder)
+    late = (F.col("publication_year") == REFRESHED_YEAR) & (F.col("cited_by_count") % 2 == 0)
+    sinks.overwrite_table(evolution.topic_year_stats(c.works.where(~F.coalesce(late, F.lit(False))), c.work_topics),
+                          base, "topic_year_stats")
+    fresh = c.works.where(late)
+    tags = c.work_topics.join(fresh.select("work_id"), "work_id", "left_semi")
+    counts = materialise(evolution.topic_year_counts(evolution.topic_works(fresh, tags), evolution.topic_names(tags)))
+    stored = load_table(spark, base, "topic_year_stats")
+    sinks.replace_years(evolution.refreshed_years(stored, counts), base, "topic_year_stats")
+    return rounded(load_table(spark, base, "topic_year_stats"))
+
+
 @register
 def merge_counts(spark, folder):
     """Seed: orders per priority and brand-named counts of customers' years; computed: the counts."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES, YEAR_COLUMN
+from ..session import materialise
 
 
 def _conformed(df: DataFrame, table: str) -> DataFrame:
@@ -27,6 +28,15 @@ def overwrite_table(df: DataFrame, folder: str, table: str) -> None:
     _writer(df, table).mode("overwrite").parquet(f"{folder}/{table}")
 
 
+def replace_years(df: DataFrame, folder: str, table: str) -> None:
+    """Replace the years that ``df`` holds and leave all others as they are; ``df`` may come from the same table.
+
+    The rows are written aside first. A repeated call replaces the same folders, so one that failed can be repeated.
+    """
+    rows = materialise(_conformed(df, table))
+    _writer(rows, table).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{table}")
+
+
 def append_table(df: DataFrame, folder: str, table: str) -> None:
     """Add rows to a base table."""
     _writer(df, table).mode("append").parquet(f"{folder}/{table}")

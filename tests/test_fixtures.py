@@ -8,6 +8,8 @@ from fieldpulse.functions.columns import extract_id, reconstruct_abstract, title
 from fieldpulse.functions.stats import exact_percentiles
 from fieldpulse.operators import emerging, evaluate, evolution, graph, ingest, transitions, views
 from fieldpulse.schemas import RAW_WORKS, TABLES, empty
+from fieldpulse.sources import sinks
+from fieldpulse.sources.works import load_table
 
 SMALL = [("W1", 2018, 5, ["T1"], ["a", "b"]), ("W2", 2018, 3, ["T2"], ["a"]),
          ("W3", 2019, 7, ["T1"], ["a", "c"]), ("W4", 2019, 1, ["T1", "T2"], ["d", ""])]
@@ -269,3 +271,24 @@ def test_inverted_index_of_empty_and_null_texts(spark):
     docs = spark.createDataFrame([(1, "b a  b"), (2, ""), (3, None), (4, " \t ")], "k int, t string")
     found = {r.k: r.abstract_inverted_index for r in ingest.build_inverted_index(docs, "k", "t").collect()}
     assert found == {1: {"b": [0, 2], "a": [1]}, 2: {}, 3: {}, 4: {}}
+
+
+def test_refreshed_years_equal_a_rebuild(spark, tmp_path):
+    old = [("a", 2000, 1, ["x"], []), ("b", 2001, 2, ["x", "y"], []), ("c", 2003, 4, ["y"], []), ("d", 2006, 1, ["x"], [])]
+    new = [("e", 2001, 5, ["x"], []), ("f", 2001, 7, ["z"], []), ("g", 2004, 3, ["y"], [])]
+    stats = lambda works: evolution.topic_year_stats(*corpus(spark, works)[:2])
+    sinks.overwrite_table(stats(old), str(tmp_path), "topic_year_stats")
+    kept = (tmp_path / "topic_year_stats" / "year=2000").stat().st_mtime_ns
+    w, t, _ = corpus(spark, new)
+    t = t.withColumn("topic_name", F.when(F.col("topic_id") == "y", F.lit("renamed")).otherwise(F.col("topic_name")))
+    fresh = evolution.topic_year_counts(evolution.topic_works(w, t), evolution.topic_names(t))
+    stored = load_table(spark, str(tmp_path), "topic_year_stats")
+    assert evolution.touched_years(stored, fresh) == [2001, 2002, 2003, 2004, 2005, 2006, 2007]
+    sinks.replace_years(evolution.refreshed_years(stored, fresh), str(tmp_path), "topic_year_stats")
+    works, tags, _ = corpus(spark, old + new)
+    tags = tags.withColumn("topic_name", F.when(F.col("topic_id") == "y", F.lit("renamed")).otherwise(F.col("topic_name")))
+    want = evolution.topic_year_stats(works, tags)
+    got = load_table(spark, str(tmp_path), "topic_year_stats")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    assert (tmp_path / "topic_year_stats" / "year=2000").stat().st_mtime_ns == kept
+    assert evolution.refreshed_years(got, fresh.limit(0)).count() == 0
