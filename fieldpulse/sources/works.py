@@ -18,7 +18,7 @@ WORK_FIELDS = (
 )
 
 
-def read_works(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+def read_works(spark: SparkSession, path: str | list[str], fmt: str = "json") -> DataFrame:
     """Nested work records with the declared schema; malformed JSON gives null fields."""
     reader = spark.read.schema(RAW_WORKS)
     if fmt == "json":

@@ -41,6 +41,40 @@ def test_incremental_ingest_equals_one_batch(spark, tmp_path):
             map(tuple, rows.select(*stored.columns).collect()), key=repr), name
 
 
+def test_a_batch_reads_nothing_stored(spark, tmp_path):
+    source, state, out = tmp_path / "in", str(tmp_path / "state"), tmp_path / "out"
+    source.mkdir()
+    run = lambda: ingest_incremental(spark, str(source), state, str(out), files_per_batch=1).awaitTermination()
+    write(source, "a b+{1}.json", [record(i) for i in range(5)])
+    write(source, "100%25 [2].json", [record(i) for i in range(3, 8)] + [{"id": None, "display_name": "no id"}])
+    run()
+    assert sorted(r.work_id for r in read_ingested(spark, str(out), "works").collect()) == [f"W{i}" for i in range(8)]
+    stored = {p: p.read_bytes() for p in out.rglob("*.parquet")}
+    for path in stored:
+        path.write_bytes(b"not a table")  # a batch that read it would fail
+    write(source, "c.json", [record(i, "late") for i in range(2, 10)])
+    write(source, "d.json", [])
+    run()
+    for path, rows in stored.items():
+        path.write_bytes(rows)
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    rows = {r.work_id: r.title for r in read_ingested(spark, str(out), "works").collect()}
+    assert rows == {f"W{i}": "late" if i > 7 else "t" for i in range(10)}
+    assert read_ingested(spark, str(out), "work_topics").count() == 10
+
+
+def test_a_broken_record_does_not_take_the_place_of_a_whole_one(spark, tmp_path):
+    source, state, out = tmp_path / "in", str(tmp_path / "state"), str(tmp_path / "out")
+    source.mkdir()
+    run = lambda: ingest_incremental(spark, str(source), state, out).awaitTermination()
+    (source / "a.json").write_text('{"id": "x/W1", "display_name": \n' + json.dumps(record(2)))
+    run()
+    write(source, "b.json", [record(1, "whole"), record(2, "late")])
+    run()
+    got = {r.work_id: r.title for r in read_ingested(spark, out, "works").collect()}
+    assert got["W2"] == "t" and set(got) == {"W1", "W2"}
+
+
 def test_live_counts_equal_the_batch_counts(spark, tmp_path):
     folder = str(tmp_path / "events")
     rows = spark.range(200).select(
