@@ -15,6 +15,8 @@ WEIGHTS = (0.4, 0.3, 0.3)
 TOP_PAPERS = 5
 
 SIGNALS = ("acceleration", "new_author_fraction", "cross_topic_score")
+#: Authors of a topic-year, those who appear in the topic for the first time, those with no other topic that year.
+COUNTS = ("authors", "fresh", "single")
 
 
 def acceleration(stats: DataFrame) -> DataFrame:
@@ -51,14 +53,8 @@ def author_topic_breadth(tay: DataFrame) -> DataFrame:
     return tay.groupBy("author_id", "year").agg(F.count("*").alias("n_topics"))
 
 
-def author_signals(tay: DataFrame) -> DataFrame:
-    """Both author signals per topic-year.
-
-    ``new_author_fraction`` is the share of a topic-year's authors whose first
-    year in the topic it is (1 for every topic in the first year of the data).
-    ``cross_topic_score`` is the share who have another topic in the same year.
-    Both need only counts: authors, first appearances, and authors with one topic.
-    """
+def author_counts(tay: DataFrame) -> DataFrame:
+    """The ``COUNTS`` per topic-year; each is a sum over authors."""
     one = F.lit(1)
     zero = F.lit(0)
     everyone = tay.groupBy("topic_id", "year").agg(F.count("*").alias("authors")).select(
@@ -72,14 +68,29 @@ def author_signals(tay: DataFrame) -> DataFrame:
         .where(F.col("n_topics") == one)
         .groupBy("topic_id", "year").agg(F.count("*").alias("single"))
         .select("topic_id", "year", zero.alias("authors"), zero.alias("fresh"), "single"))
-    totals = everyone.unionByName(fresh).unionByName(single).groupBy("topic_id", "year").agg(
-        *[F.sum(c).alias(c) for c in ("authors", "fresh", "single")])
-    return totals.select(
+    return everyone.unionByName(fresh).unionByName(single).groupBy("topic_id", "year").agg(
+        *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def signal_ratios(counts: DataFrame) -> DataFrame:
+    """Both author signals from the counts."""
+    return counts.select(
         "topic_id", "year",
         ratio(F.col("fresh"), F.col("authors")).alias("new_author_fraction"),
         ratio(F.col("authors") - F.col("single"), F.col("authors")).alias("cross_topic_score"))
 
 
+def author_signals(tay: DataFrame) -> DataFrame:
+    """Both author signals per topic-year.
+
+    ``new_author_fraction`` is the share of a topic-year's authors whose first
+    year in the topic it is (1 for every topic in the first year of the data).
+    ``cross_topic_score`` is the share who have another topic in the same year.
+    Both need only counts: authors, first appearances, and authors with one topic.
+    """
+    return signal_ratios(author_counts(tay))
+
+
 def composite_score(signals: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """Weighted sum of the signals, each min-max scaled over the whole table."""
     score = sum((F.lit(float(w)) * F.col("norm_" + s) for w, s in zip(weights, SIGNALS)), F.lit(0.0))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import TITLE_STOP_WORDS, reconstruct_abstract
 from ..functions.stats import ratio
 from ..operators import (
-    cluster, communities, emerging, evaluate, evolution, graph, ingest, layout, neighbours, text, topics, transitions, views,
+    author_state, cluster, communities, emerging, evaluate, evolution, graph, ingest, layout, neighbours, search, text, topics, transitions, views,
 )
 from ..schemas import empty
 from ..session import materialise, shared_folder
@@ -826,6 +826,17 @@ def evidence_search(spark, folder):
     return views.evidence_table(chosen, c.work_topics, c.authorships)
 
 
+@register
+def indexed_search(spark, folder):
+    """The works of ``evidence_search``, found in a stored index of the titles."""
+    c = commerce(spark, folder, names=True)
+    index = f"{shared_folder(spark)}/titles-{uuid.uuid4().hex}"
+    search.build_title_index(c.works, index)
+    chosen = search.search_titles(c.works, c.work_topics, c.authorships, index, EVIDENCE_TITLE,
+                                  topics=EVIDENCE_TOPICS, years=EVIDENCE_YEARS)
+    return views.evidence_table(materialise(chosen), c.work_topics, c.authorships)
+
+
 @register
 def topic_label(spark, folder):
     return views.topic_label(_stats(spark, folder), views.effective_selection(None, "Brand#13"))
@@ -844,6 +855,18 @@ def incremental_ingest(spark, folder):
     return read_ingested(spark, f"{base}/out", "works")
 
 
+@register
+def appended_author_signals(spark, folder):
+    """Author signals after three appends of works, the newest works first."""
+    c, state = commerce(spark, folder), f"{shared_folder(spark)}/authors-{uuid.uuid4().hex}"
+    tagged = _tagged(spark, folder)
+    early, late = STORED_YEARS
+    for batch, years in enumerate((F.col("year") > late, F.col("year").between(early, late), F.col("year") < early)):
+        author_state.append_author_state(
+            emerging.topic_author_year(tagged.where(years), c.authorships), state, batch)
+    return rounded(author_state.stored_author_signals(spark, state))
+
+
 @register
 def live_counts(spark, folder):
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
