@@ -61,9 +61,14 @@ def vocabulary(papers: DataFrame, terms: DataFrame, max_df: float = MAX_DF, min_
         words, [F.desc("total"), F.asc("term")], max_features)
 
 
-def tfidf(papers: DataFrame, terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(work_id, term, weight)``: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), unit length per document."""
-    known = with_scalar(vocab, "_n", papers.agg(F.count("*").alias("n"))).select(
+def tfidf(papers: DataFrame, terms: DataFrame, vocab: DataFrame, n_docs: int | None = None) -> DataFrame:
+    """``(work_id, term, weight)``: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), unit length per document.
+
+    n is the number of papers, or ``n_docs`` where the vocabulary comes from another corpus.
+    """
+    known = vocab.withColumn("_n", F.lit(n_docs)) if n_docs is not None else with_scalar(
+        vocab, "_n", papers.agg(F.count("*").alias("n")))
+    known = known.select(
         "term", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     rows = terms.join(known, "term").select(
         "work_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))

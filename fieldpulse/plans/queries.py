@@ -39,6 +39,7 @@ STOP_WORDS = list(TITLE_STOP_WORDS)
 STORED_YEARS = (1995, 1997)
 REFRESHED_YEAR = 1996
 RECORD_LIMIT = 700
+HELD_OUT_EVERY = 5
 SELECTION = {"subfield": "1", "years": (1996, 1999), "work_type": "article", "min_citations": 50}
 
 
@@ -687,6 +688,22 @@ def lda_document_invariants(spark, folder):
         F.coalesce(bounded, F.lit(True)).alias("bounded"))
 
 
+@register
+def lda_heldout_invariants(spark, folder):
+    """A model of four fifths of the documents, stored and loaded, applied to all.
+
+    Whether a document was held out, whether it has a topic, and whether the perplexity of the held-out ones is above 1.
+    """
+    docs, place = texts(spark, folder)[0], f"{shared_folder(spark)}/topics-{uuid.uuid4().hex}"
+    held = F.substring("work_id", 2, 20).cast("long") % HELD_OUT_EVERY == 0
+    topics.save_topic_model(topics.fit_lda(docs.where(~held), stop_words=STOP_WORDS), place)
+    fit = topics.load_topic_model(spark, place)
+    perplexity = topics.lda_perplexity(topics.fold_in(fit, docs.where(held))).select("perplexity").scalar()
+    return topics.dominant_topic(topics.fold_in(fit, docs)).select(
+        "work_id", held.alias("held_out"), F.col("lda_topic_id").isNotNull().alias("assigned"),
+        (perplexity > 1).alias("above_one"))
+
+
 # -- evaluation ------------------------------------------------------------------------------------
 
 def _coherence(spark, folder) -> DataFrame:
