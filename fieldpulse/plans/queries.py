@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import TITLE_STOP_WORDS, reconstruct_abstract
 from ..functions.stats import ratio
 from ..operators import (
-    author_state, cluster, communities, emerging, evaluate, evolution, graph, ingest, layout, neighbours, search, text, topics, transitions, views,
+    author_state, cluster, communities, emerging, evaluate, evolution, graph, ingest, latent, layout, neighbours, search, text, topics, transitions, views,
 )
 from ..schemas import empty
 from ..session import materialise, shared_folder
@@ -653,6 +653,15 @@ def embedding_invariants(spark, folder):
         ((F.abs(squares - 1) < 1e-4) | (squares == 0)).alias("unit"))
 
 
+@register
+def latent_invariants(spark, folder):
+    """Dimensions of every latent vector, and whether it has unit length or is zero."""
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return latent.latent_vectors(_papers_text(spark, folder)).select(
+        "work_id", F.size("embedding").alias("dims"),
+        ((F.abs(squares - 1) < 1e-4) | (squares == 0)).alias("unit"))
+
+
 def _lda(spark, folder) -> topics.TopicModel:
     return topics.fit_lda(texts(spark, folder)[0], stop_words=STOP_WORDS)
 
@@ -732,14 +741,15 @@ def npmi_by_language(spark, folder):
 
 @register
 def npmi_of_models(spark, folder):
-    """Coherence of given topics, of text clusters and of topic-model topics side by side."""
+    """Coherence of given topics, of clusters of hashed and of latent vectors and of topic-model topics side by side."""
     docs, tags = texts(spark, folder)
     clusters = materialise(cluster.paper_projections(docs))
+    related = materialise(cluster.kmeans(materialise(latent.latent_vectors(text.papers_with_abstract(docs)))))
     modelled = materialise(topics.dominant_topic(topics.fit_lda(docs)).where("lda_topic_id is not null"))
     groups = {"given": tags, **{
         name: rows.select("work_id", F.col(column).cast("string").alias("topic_id"),
                           F.concat(F.lit(f"{name} "), F.col(column).cast("string")).alias("topic_name"))
-        for name, rows, column in (("cluster", clusters, "cluster_id"), ("model", modelled, "lda_topic_id"))}}
+        for name, rows, column in (("cluster", clusters, "cluster_id"), ("latent", related, "cluster_id"), ("model", modelled, "lda_topic_id"))}}
     parts = [evaluate.coherence_summary(materialise(evaluate.topic_coherence(g, docs))).withColumn("grouping", F.lit(name))
              for name, g in groups.items()]
     return rounded(reduce(DataFrame.unionByName, parts))
