@@ -125,8 +125,9 @@ def build_cascade(universe: DataFrame, keys_per_slice: int = KEYS_PER_SLICE) ->
         left, other, number = materialise(wrong), left, number + 1
     if not left.isEmpty():
         raise RuntimeError("the cascade has not ended: are keys repeated as listed and unlisted?")
-    empty = keys.sparkSession.createDataFrame(
-        [], "slice int, level int, bits bigint, hashes int, words array<bigint>")
+    empty = keys.where(F.lit(False)).select(
+        "slice", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("bits"), F.lit(0).alias("hashes"),
+        F.array().cast("array<bigint>").alias("words"))
     table = materialise(
         reduce(DataFrame.union, levels, empty)
         .groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("level", "bits", "hashes", "words"))).alias("levels"),
@@ -147,18 +148,27 @@ def add_listed(rows: DataFrame, key: str, cascade: tuple[DataFrame, int, int], n
     return met.withColumn(name, is_listed(F.col(key), F.col("_levels"))).drop("_slice", "_levels")
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], listed: Column, key: str = "page_id", url: str = "url",
+def _universe(hosts: DataFrame, listed: Column | DataFrame) -> DataFrame:
+    """``(key, listed)`` of every distinct host; each stands for itself alone, not for its subdomains."""
+    keys = hosts.where("host <> ''").select(F.col("host").alias("key")).distinct()
+    if isinstance(listed, Column):
+        return keys.withColumn("host", F.col("key")).select("key", F.coalesce(listed, F.lit(False)).alias("listed"))
+    names = listed.select(F.translate(F.col("host"), UPPER, LOWER).alias("key")).where("key is not null").distinct()
+    return keys.join(names.withColumn("listed", F.lit(True)), "key", "left").select(
+        "key", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], listed: Column | DataFrame, key: str = "page_id", url: str = "url",
                keys_per_slice: int = KEYS_PER_SLICE, inline_bits: int = INLINE_BITS) -> DataFrame:
     """``(key, host, path, rule, verdict, listed)`` of every URL.
 
-    The longest fitting rule decides; where none fits, hosts for which ``listed`` (an expression
-    over ``host``) holds are blocked.  The list is asked through the cascade, whose universe is
-    every host of ``pages``.
+    The longest fitting rule decides; where none fits, listed hosts are blocked.  ``listed`` is an
+    expression over ``host``, or a table of any length with a column ``host``; its A-Z are lower-cased, and nulls,
+    repeated rows, other columns and hosts without pages have no effect.  The list is asked through the cascade, whose
+    universe is every host of ``pages``; a table meets the distinct hosts once, when the cascade is built.
     """
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    universe = (
-        rows.where("host <> ''").select(F.col("host").alias("key")).distinct()
-        .withColumn("host", F.col("key")).select("key", F.coalesce(listed, F.lit(False)).alias("listed")))
+    universe = _universe(rows, listed)
     cascade = build_cascade(materialise(universe), keys_per_slice)
     found = add_listed(rows, "host", cascade, inline_bits=inline_bits)
     fit = matching_rule(F.col("host"), F.col("path"), rules)

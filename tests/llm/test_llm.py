@@ -70,6 +70,21 @@ def test_url_rules_and_cascade(spark):
     assert url_filter.judge_urls(pages.limit(0), queries.URL_RULES, listed).count() == 0
 
 
+@pytest.mark.parametrize("per_slice", [1 << 18, 5])
+def test_listed_hosts_as_a_table(spark, per_slice):
+    pages = spark.createDataFrame([(i, f"http://H{i % 40}.example/x") for i in range(200)] + [(None, None)], "page_id int, url string")
+    hosts = spark.createDataFrame(
+        [(f"h{i}.EXAMPLE", "x", True) for i in range(0, 90, 3)] * 2 + [(None, "x", True), ("", "x", False)], "host string, key string, listed boolean")
+    rows = url_filter.judge_urls(pages, [("allow", "h3.example", "/")], hosts, keys_per_slice=per_slice).collect()
+    assert len(rows) == 201
+    for r in rows:
+        on_list = r.page_id is not None and r.page_id % 40 % 3 == 0
+        assert r.listed == on_list
+        assert r.verdict == ("block" if on_list and r.host != "h3.example" else "allow")
+    none = url_filter.judge_urls(pages, [], hosts.limit(0), keys_per_slice=per_slice)
+    assert none.where("verdict = 'allow'").count() == 201
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(4000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     for per_slice in (10_000, 500):
