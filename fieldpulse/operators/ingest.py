@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import extract_id, reconstruct_abstract
 from ..session import materialise
 from ..sources.works import select_works
 
+#: Texts whose indexes are handed on at once.
+INDEX_ROWS = 256
+
+
+def _indexed_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, abstract_inverted_index)`` of every row, each indexed where it lies."""
+    kind = texts.schema[key].dataType.simpleString()
+    places = pa.map_(pa.string(), pa.list_(pa.int32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), INDEX_ROWS):
+                part, indexes = batch.slice(start, INDEX_ROWS), []
+                for words in part.column(1).to_pylist():
+                    index: dict[str, list[int]] = {}
+                    for at, word in enumerate(words or ()):
+                        if word:
+                            index.setdefault(word, []).append(at)
+                    indexes.append(list(index.items()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(indexes, places)], [key, "abstract_inverted_index"])
+
+    return texts.select(key, _split_words(text).alias("_words")).mapInArrow(
+        run, f"`{key}` {kind}, abstract_inverted_index map<string,array<int>>")
+
+
+def _split_words(text: str) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
+
 
 def build_inverted_index(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, abstract_inverted_index)``, one row per key: each word of its text with its positions.
 
-    The texts are dealt out by key once; both groupings then stay within their partition.
+    A text that has its key alone is indexed where it lies.  Only keys are counted over all rows, and only texts of
+    a repeated key are dealt out by key.
     """
-    whole = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-    words = texts.select(key, whole.alias("_whole")).repartition(key).select(
-        key, F.posexplode_outer(F.split("_whole", " ")).alias("pos", "word"))
+    repeated = materialise(texts.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    single = _indexed_texts(texts.join(repeated, same, "left_anti"), key, text)
+    words = texts.join(repeated, same, "left_semi").select(key, F.posexplode_outer(_split_words(text)).alias("pos", "word"))
     places = words.groupBy(key, "word").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     entries = F.collect_list(F.when(F.col("word") != "", F.struct("word", "at")))
-    return places.groupBy(key).agg(F.map_from_entries(entries).alias("abstract_inverted_index"))
+    return single.unionByName(places.groupBy(key).agg(F.map_from_entries(entries).alias("abstract_inverted_index")))
 
 
 def dedupe_works(raw: DataFrame) -> DataFrame:
