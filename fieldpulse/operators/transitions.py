@@ -6,18 +6,21 @@ pairs have both signals at 0; they enter the min-max scaling through their numbe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio, scaled, with_scalar
 from ..session import materialise
-from .emerging import work_authors
 
 # Score threshold, number of topics and signal weights.
 THRESHOLD = 0.5
 TOP_TOPICS = 30
 STRUCTURAL_WEIGHT = 0.5
 LEVEL_WEIGHT, TREND_WEIGHT = 0.6, 0.4
+#: Topics held in one number.
+MASK_BITS = 62
 
 PAIR = ["src_topic_id", "tgt_topic_id", "year"]
 
@@ -56,12 +59,33 @@ def shared_works(sets: DataFrame) -> DataFrame:
 
 
 def author_topic_sets(sets: DataFrame, authorships: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """One row per (author, year) with the author's topics of that year."""
-    return (
-        work_authors(authorships, keep_blank).join(sets, "work_id")
-        .select("author_id", "year", F.explode("topics").alias("topic_id")).distinct()
-        .groupBy("author_id", "year")
-        .agg(F.array_sort(F.collect_list("topic_id")).alias("topics")))
+    """One row per (author, year) with the author's topics of that year.
+
+    Topics travel as bits of one number for every ``MASK_BITS`` of them, which add up on the map side; repeated
+    authorships change no bit.  The driver reads the topics of the sets, a top list.
+    """
+    listed = sorted(r.topic_id for r in sets.select(F.explode("topics").alias("topic_id")).distinct().collect()
+                    if r.topic_id is not None)
+    chunks = [listed[i: i + MASK_BITS] for i in range(0, len(listed), MASK_BITS)] or [[]]
+
+    def mask(chunk: list[str]) -> Column:
+        held = [F.when(F.array_contains("topics", t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(chunk)]
+        return reduce(Column.bitwiseOR, held, F.lit(0).cast("long"))
+
+    names = [f"mask{i}" for i in range(len(chunks))]
+    marked = sets.select("work_id", "year", *[mask(c).alias(n) for c, n in zip(chunks, names)])
+    people = authorships if keep_blank else authorships.where(F.col("author_id") != "")
+    found = people.select("work_id", "author_id").join(marked, "work_id").groupBy("author_id", "year").agg(
+        *[F.bit_or(n).alias(n) for n in names])
+    topics = [_bits_read(F.col(n), c[i: i + 4], i) for c, n in zip(chunks, names) for i in range(0, len(c), 4)]
+    return found.where(" or ".join(f"{n} <> 0" for n in names)).select(
+        "author_id", "year", F.concat(*topics, F.array().cast("array<string>")).alias("topics"))
+
+
+def _bits_read(mask: Column, piece: list[str], first: int) -> Column:
+    """The topics of four bits, looked up in a constant table."""
+    table = F.array(*[F.array(*[F.lit(t) for i, t in enumerate(piece) if v >> i & 1]).cast("array<string>") for v in range(1 << len(piece))])
+    return F.get(table, F.shiftright(mask, first).bitwiseAND(F.lit(15).cast("long")).cast("int"))
 
 
 def observed_years(df: DataFrame) -> DataFrame:
