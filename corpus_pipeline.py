@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import decontaminate, hilbert, near, raking, toxicity
+from fieldpulse.llm import decontaminate, hilbert, near, raking, simhash, toxicity
 from fieldpulse.session import shared_folder
 
 
@@ -22,8 +22,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of texts with 0.8 or more of their five-word shingles in common."""
-    return near.keep_first(docs)
+    """One document of each group of texts with 0.8 or more of their five-word shingles in common.
+
+    Texts meet by SimHash fingerprints through anchors, as in ``op4``, and by MinHash bands for edits beyond two bits; an exact
+    check of all that met follows.
+    """
+    return near.keep_first(docs, candidates=simhash.groups(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

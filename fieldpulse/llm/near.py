@@ -314,14 +314,28 @@ def links_of(docs: DataFrame, own: DataFrame, families: DataFrame, key: str, tex
     return links if rest.isEmpty() else materialise(links.union(_checked(rest, nodes)))
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, copy, node, root)`` of every row; rows of one ``root`` are near-duplicates."""
+def _met_elsewhere(own: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``(a, b)`` of nodes with shingles whose rows share a ``root`` in ``candidates``, each with the smallest such node."""
+    theirs = candidates.select(F.col("key").alias("k"), F.col("copy").alias("c"), "root").distinct()
+    rows = own.where(F.size("bands") > 0).select("key", "copy", "node").distinct()
+    met = rows.join(theirs, F.col("key").eqNullSafe(F.col("k")) & (F.col("copy") == F.col("c"))).select("root", "node")
+    met = materialise(met.distinct())
+    return met.join(met.groupBy("root").agg(F.min("node").alias("a")), "root").where("a < node").select("a", F.col("node").alias("b"))
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", candidates: DataFrame | None = None) -> DataFrame:
+    """``(key, copy, node, root)`` of every row; rows of one ``root`` are near-duplicates.
+
+    Rows of one ``root`` of ``candidates`` (``key, copy, root`` of every row, found in another way) are of one family as well.
+    """
     own = materialise(_signed(docs, key, text))
     banded = own.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    own = own.drop("bands")
     stars = banded.join(shared, "band").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    if candidates is not None:
+        stars = stars.union(_met_elsewhere(own, candidates))
     families = materialise(components(materialise(stars)).select("node", F.col("root").alias("family")))
+    own = own.drop("bands")
     rooted = components(links_of(docs, own, families, key, text))
     return own.join(rooted, "node", "left").select("key", "copy", "node", F.coalesce("root", "node").alias("root"))
 
@@ -349,6 +363,9 @@ def first_rows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFr
     return left.union(touched.join(again, ["key", "copy"], "left_semi").dropDuplicates(["key", "copy"]).select("row.*"))
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group: that of the smallest key; rows without a key all stay."""
-    return first_rows(docs, materialise(groups(docs, key, text)), key, text)
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", candidates: DataFrame | None = None) -> DataFrame:
+    """One row of each group: that of the smallest key; rows without a key all stay.
+
+    ``candidates``: see ``groups``.
+    """
+    return first_rows(docs, materialise(groups(docs, key, text, candidates)), key, text)
