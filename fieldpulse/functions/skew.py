@@ -27,17 +27,25 @@ def hot_keys(df: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> Dat
 
 
 def measured(df: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> tuple[bool, int]:
-    """Whether a key has over ``rows_per_part`` rows, and the number of all rows, in one pass."""
+    """Whether a key has over ``rows_per_part`` rows, and the number of all rows; the keys are counted in even shares."""
+    rows = df.count()
     seen = Observation()
-    counted = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows"))
-    counted.observe(seen, F.max("most").alias("most"), F.max("rows").alias("rows")).write.format("noop").mode("overwrite").save()
-    return (seen.get["most"] or 0) > rows_per_part, seen.get["rows"] or 0
+    counted = dealt(df.select(key), key, rows).groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    counted.observe(seen, F.max("most").alias("most")).write.format("noop").mode("overwrite").save()
+    return (seen.get["most"] or 0) > rows_per_part, rows
 
 
-def dealt(df: DataFrame, key: str, rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def joined_rows(left: DataFrame, right: DataFrame, key: str, rows: int) -> int:
+    """Rows of the join of both sides, from the counts of every key; ``left`` has ``rows`` rows."""
+    a, b = (dealt(df.select(key), key, rows).groupBy(key).agg(F.count("*").alias(n)) for df, n in ((left, "a"), (right, "b")))
+    return a.join(b, key).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+
+def dealt(df: DataFrame, key: str | list[str], rows: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rows dealt out by ``key`` for a table of ``rows`` rows, so that no task grows with the table; small ones as they are."""
     parts = -(-rows // rows_per_task)
-    return df if parts <= 1 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), key)
+    keys = [key] if isinstance(key, str) else key
+    return df if parts <= 1 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, salt_by: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.skew import dealt, measured, split_join
+from ..functions.skew import dealt, joined_rows, measured, split_join
 from ..functions.stats import exact_percentiles, minmax, ratio, with_scalar
 from ..session import materialise
 from .evolution import stats_from_counts, topic_names, topic_works, topic_year_counts
@@ -37,7 +37,8 @@ def topic_author_year(tagged: DataFrame, authorships: DataFrame, keep_blank: boo
     """Distinct (topic, author, year), from ``topic_works`` and authorships.
 
     A work with very many authors is split over several tasks.  Without one, both sides are dealt out by work
-    once, in shares that do not grow with the tables, and repeated authors go where they meet.
+    once, in shares that do not grow with the tables, and repeated authors go where they meet.  What they make is
+    counted first, from the rows of every work, and its distinct rows are found in such shares as well.
     """
     tags = tagged.select("work_id", "topic_id", "year")
     people = authorships if keep_blank else authorships.where(F.col("author_id") != "")
@@ -47,7 +48,8 @@ def topic_author_year(tagged: DataFrame, authorships: DataFrame, keep_blank: boo
         met = split_join(work_authors(authorships, keep_blank), tags, "work_id", "author_id")
     else:
         met = dealt(people, "work_id", rows).distinct().join(dealt(tags, "work_id", rows), "work_id")
-    return met.select("topic_id", "author_id", "year").distinct()
+    triple = ["topic_id", "author_id", "year"]
+    return dealt(met.select(*triple), triple, joined_rows(people, tags, "work_id", rows)).distinct()
 
 
 def author_first_year(tay: DataFrame) -> DataFrame:
@@ -63,9 +65,10 @@ def author_topic_breadth(tay: DataFrame) -> DataFrame:
 def author_counts(tay: DataFrame) -> DataFrame:
     """The ``COUNTS`` per topic-year; each is a sum over authors.
 
-    The rows are dealt out by author once for both groupings; an author has at most topics times years of them.
+    The rows are dealt out by author once for both groupings, in shares that do not grow with the table; an author has at
+    most topics times years of them.
     """
-    per_author = tay.select("topic_id", "author_id", "year").repartition("author_id")
+    per_author = dealt(tay.select("topic_id", "author_id", "year").repartition("author_id"), "author_id", tay.count())
     one = F.lit(1)
     zero = F.lit(0)
     everyone = tay.groupBy("topic_id", "year").agg(F.count("*").alias("authors")).select(

@@ -39,3 +39,19 @@ def test_author_counts_deal_the_rows_out_once(spark):
                           sum(len({u for u, b, z in rows if (b, z) == (a, y)}) == 1 for a in mine))
     assert emerging.author_counts(tay)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [author_id") == 2
     assert graph.coauthor_edges(people, graph.author_nodes(people)).count() > 0
+
+
+def test_distinct_authors_and_their_counts_are_found_in_shares_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(emerging, "dealt", lambda df, key, rows: skew.dealt(df, key, rows, 10))
+    works, tags, people = corpus(spark, WORKS)
+    tagged = evolution.topic_works(works, tags)
+    assert skew.joined_rows(people, tagged, "work_id", 180) == people.join(tagged, "work_id").count()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    tay = emerging.topic_author_year(tagged, people)
+    made = people.join(tagged, "work_id").count()
+    assert any("[topic_id" in line and line.endswith(f", {-(-made // 10)}")
+               for line in plan(tay).splitlines() if "RepartitionByExpression" in line)
+    parts = -(-tay.count() // 10)
+    assert plan(emerging.author_counts(tay)).count(f", {parts}\n") >= 2  # both groupings by author
+    assert skew.measured(people, "work_id") == (False, people.count())
+    assert skew.measured(people, "work_id", 2) == (True, people.count())
