@@ -91,6 +91,23 @@ def test_robustness_covers_every_threshold(spark, planted):
     assert (rows[50].n_authors, rows[50].n_edges, rows[50].modularity) == (0, 0, None)
 
 
+def test_thresholds_that_keep_the_same_authors_are_partitioned_once(spark, monkeypatch):
+    seen = []
+
+    def alone(copies, arcs, least_gain):
+        seen.extend(sorted(r.graph for r in copies.select("graph").distinct().collect()))
+        number = lambda name: F.xxhash64("graph", name)
+        return copies.select("graph", "node", number("node").alias("id"), number("node").alias("comm")), arcs.select(
+            number("src").alias("src"), number("dst").alias("dst"), "weight")
+
+    monkeypatch.setattr(communities, "partition_graphs", alone)
+    nodes = spark.createDataFrame([("a", "A", 9), ("b", "B", 9), ("c", "C", 3)], "author_id string, author_name string, paper_count int")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 1)], "source_author_id string, target_author_id string, weight int")
+    rows = {r.min_papers: tuple(r)[1:4] for r in communities.graph_robustness(nodes, edges, (1, 2, 5, 8, 50)).collect()}
+    assert seen == [1, 5]
+    assert rows == {1: (3, 2, 3), 2: (3, 2, 3), 5: (2, 1, 2), 8: (2, 1, 2), 50: (0, 0, 0)}
+
+
 def test_pairs_of_a_large_work_equal_the_plain_self_join(spark):
     rows = [("hot", f"a{i:03d}") for i in range(90)] + [(f"w{i}", f"a{j:03d}") for i in range(9) for j in range(i)]
     df = spark.createDataFrame(rows, "work string, author string")
