@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.skew import dealt
 from ..functions.stats import ratio
 from ..session import materialise
 
@@ -19,11 +20,13 @@ def topic_works(works: DataFrame, work_topics: DataFrame, years: tuple[int, int]
                 subfield_id: str | None = None, keep_undated: bool = False) -> DataFrame:
     """One row per (work, topic): year, citations and the number of tag rows.
 
-    The tags are aggregated before the join, so repeated tags and works with many
-    tag rows collapse on the map side.  ``works`` holds one row per work.
+    The tags are counted before the join.  Those of a large table are dealt out for it, and the counts for the join, in
+    shares that do not grow with the table; in a small one repeated tags and works with many tag rows collapse on the
+    map side.  ``works`` holds one row per work.
     """
     tags = work_topics if subfield_id is None else work_topics.where(F.col("subfield_id") == subfield_id)
-    tags = tags.groupBy("work_id", "topic_id").agg(F.count("*").alias("tag_rows"))
+    pair, rows = ["work_id", "topic_id"], tags.count()
+    tags = dealt(tags.select(*pair), pair, rows).groupBy(*pair).agg(F.count("*").alias("tag_rows"))
     dated = works.select(
         "work_id", F.col("publication_year").alias("year"),
         F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count"))
@@ -31,7 +34,7 @@ def topic_works(works: DataFrame, work_topics: DataFrame, years: tuple[int, int]
         dated = dated.where(F.col("year").between(*years))
     elif not keep_undated:
         dated = dated.where(F.col("year").isNotNull())
-    return tags.join(dated, "work_id")
+    return dealt(tags, "work_id", rows).join(dealt(dated, "work_id", rows), "work_id")
 
 
 def topic_year_counts(tagged: DataFrame, names: DataFrame) -> DataFrame:

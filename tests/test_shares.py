@@ -55,3 +55,14 @@ def test_distinct_authors_and_their_counts_are_found_in_shares_of_the_rows(spark
     assert plan(emerging.author_counts(tay)).count(f", {parts}\n") >= 2  # both groupings by author
     assert skew.measured(people, "work_id") == (False, people.count())
     assert skew.measured(people, "work_id", 2) == (True, people.count())
+
+
+def test_tags_are_counted_in_shares_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(evolution, "dealt", lambda df, key, rows: skew.dealt(df, key, rows, 10))
+    works, tags, _ = corpus(spark, WORKS)
+    tagged = evolution.topic_works(works, tags)
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    parts = -(-tags.count() // 10)
+    assert sum("RepartitionByExpression [work_id" in line and line.endswith(f", {parts}") for line in plan.splitlines()) == 3
+    assert sorted(map(tuple, tagged.select("work_id", "topic_id", "year", "cited_by_count", "tag_rows").collect())) == sorted(
+        (w, t, y, c, ts.count(t)) for w, y, c, ts, _ in WORKS for t in set(ts))
