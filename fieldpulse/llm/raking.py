@@ -23,6 +23,7 @@ an empty table gives an empty result; columns named like a result are replaced,
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,10 +136,11 @@ def reachable(cells: DataFrame, target: DataFrame, dimension: str, goal: float)
 
 def margins(cells: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
     """``(dimension, value, goal, reached)`` in tokens, of cells with ``tokens`` and ``probability``."""
-    parts = [
-        cells.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("reached")).join(goals[d], d)
-        .select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "goal", "reached") for d in DIMENSIONS]
-    return parts[0].union(parts[1]).union(parts[2])
+    value = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS]))
+    reached = cells.select(value.alias("v"), (F.col("tokens") * F.col("probability")).alias("x")).groupBy("v.dimension", "v.value").agg(
+        F.sum("x").alias("reached"))
+    wanted = reduce(DataFrame.union, [goals[d].select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "goal") for d in DIMENSIONS])
+    return reached.join(wanted, ["dimension", "value"]).select("dimension", "value", "goal", "reached")
 
 
 def bounded(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP,
