@@ -178,7 +178,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
     at_home = distinct.select("fp").mapInArrow(homes, "anchor bigint, a bigint")
     sent = distinct.select("fp").mapInArrow(copies, "anchor bigint, b bigint")
     differing = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return at_home.join(sent, "anchor").where((F.col("a") < F.col("b")) & (differing <= MAX_BITS)).select("a", "b")
+    # Spark sizes the copies like the fingerprints they come from, some sixty times too low, and would send them to the driver.
+    return at_home.join(sent.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (differing <= MAX_BITS)).select("a", "b")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
