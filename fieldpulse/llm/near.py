@@ -26,6 +26,9 @@ tell apart.  No pair that could link is left out.
 Texts of families, and of rows that go, are picked by a bitmap of fixed size before they are shuffled; other
 texts stay where they are.  With very many of them the bitmap fills up and more texts are shuffled.
 
+Rows that an explode has multiplied are joined by merging: Spark sizes them like the rows they come from and would send them
+to the driver.
+
 Edge cases: null, empty and blank texts are one group; a null key never makes a row go and no row go
 for it; repeated keys with different texts are judged row by row; of rows that repeat key and text one
 stays; shingles and sequences are compared by 64-bit hashes; other columns may have any names; an empty table
@@ -252,7 +255,7 @@ def _shared_shingles(nodes: DataFrame) -> DataFrame:
     """``(family, shingle, node)``: the prefixes of the nodes, without shingles that only one node owns."""
     owned = nodes.select("family", "node", _prefix().alias("upto"), F.size("own").alias("n"), F.explode("own").alias("shingle"))
     common = owned.groupBy("family", "shingle").agg(F.count("*").alias("seen")).where("seen > 1")
-    met = owned.join(common, ["family", "shingle"])
+    met = owned.hint("merge").join(common, ["family", "shingle"])
     order = Window.partitionBy("node").orderBy("seen", "shingle")
     per_node = Window.partitionBy("node")
     ranked = met.select("family", "node", "shingle", "upto", "n", F.row_number().over(order).alias("rank"),
@@ -277,7 +280,7 @@ def _core_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
                                         F.explode(F.sequence("s", "m")).alias("s_b"))  # the larger text is sought
     right = cells.select("family", *[F.col(c).alias(c + "_b") for c in ("s", "m", "low", "high")])
     meeting = materialise(
-        left.join(right, ["family", "s_b"])
+        left.hint("merge").join(right, ["family", "s_b"])
         .where("s_a <= m_b and (s_a < s_b or m_a <= m_b) and (low_a <> low_b or low_a <> high_a or low_b <> high_b)")
         .select("family", "s_a", "m_a", "s_b", "m_b"))
     one = able.select("family", *[F.col(c).alias(c + "_a") for c in ("s", "m", "root", "size", "most")], F.col("node").alias("x"))
@@ -323,15 +326,20 @@ def _met_elsewhere(own: DataFrame, candidates: DataFrame) -> DataFrame:
     return met.join(met.groupBy("root").agg(F.min("node").alias("a")), "root").where("a < node").select("a", F.col("node").alias("b"))
 
 
+def _band_stars(own: DataFrame) -> DataFrame:
+    """``(a, b)`` of nodes that agree in a band, each with the smallest such node."""
+    banded = own.select(F.explode("bands").alias("band"), "node")
+    shared = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
+    return banded.hint("merge").join(shared, "band").where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", candidates: DataFrame | None = None) -> DataFrame:
     """``(key, copy, node, root)`` of every row; rows of one ``root`` are near-duplicates.
 
     Rows of one ``root`` of ``candidates`` (``key, copy, root`` of every row, found in another way) are of one family as well.
     """
     own = materialise(_signed(docs, key, text))
-    banded = own.select(F.explode("bands").alias("band"), "node")
-    shared = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").drop("last")
-    stars = banded.join(shared, "band").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    stars = _band_stars(own)
     if candidates is not None:
         stars = stars.union(_met_elsewhere(own, candidates))
     families = materialise(components(materialise(stars)).select("node", F.col("root").alias("family")))
