@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..session import spread
 
 
+#: Rows of a table that a join may send to the driver whole.  Spark goes by the size of its files, which pack many rows.
+BROADCAST_ROWS = 2_000_000
+
+
 @dataclass(frozen=True)
 class Corpus:
     works: DataFrame
@@ -25,6 +29,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """The table, joined by merging when it has many rows; a stored table is counted from its footers."""
+    return df.hint("merge") if df.count() > BROADCAST_ROWS else df
+
+
 def prefixed(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
@@ -48,7 +57,7 @@ def commerce(spark: SparkSession, folder: str, names: bool = False) -> Corpus:
     lines = items
     if names:
         suppliers = table(spark, folder, "supplier")
-        lines = items.join(parts, items.l_partkey == parts.p_partkey).join(
+        lines = items.join(unsent(parts), items.l_partkey == parts.p_partkey).join(
             suppliers, items.l_suppkey == suppliers.s_suppkey)
         author_name, institution_name = F.col("p_name"), F.col("s_name")
     authorships = lines.select(
