@@ -119,3 +119,21 @@ def test_the_first_delivery_wins(spark, tmp_path):
     assert {(r.work_id, r.topic_id) for r in tables["work_topics"].collect()} == {("W1", "T1"), ("W2", "T9")}
     ingest_incremental(spark, str(source), str(tmp_path / "state"), out).awaitTermination()
     assert {r.work_id: r.title for r in read_ingested(spark, out, "works").collect()} == {"W1": "zwei", "W2": "same"}
+
+
+def test_deliveries_are_compressed_files_of_few_records(spark, tmp_path, monkeypatch):
+    from fieldpulse.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_RECORDS", 2)
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path / "out"))
+    for name, rows, schema in (
+            ("orders", [(i, 1, "O" if i % 2 else "F", "1-URGENT", "2020-01-01", 5000.0) for i in range(1, 8)],
+             "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string, o_totalprice double"),
+            ("customer", [(1, "C", 1, "AUTO")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+            ("nation", [(1, "N", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+            ("region", [(1, "R")], "r_regionkey int, r_name string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = queries.incremental_ingest(spark, str(tmp_path)).collect()
+    assert sorted(r.work_id for r in rows) == [f"W{i}" for i in range(1, 8)] and {r.title for r in rows} == {"1-URGENT"}
+    files = [f.name for f in (tmp_path / "out").glob("ingest-*/in/part-*")]
+    assert len(files) >= 6 and all(f.endswith(".json.gz") for f in files)
